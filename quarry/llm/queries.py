@@ -32,3 +32,77 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 QUERIES = {"op1_substring_dedup": op1_substring_dedup}
 SQL = {"op1_substring_dedup": OP1_SQL}
+
+
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: a page is bad where the label of the same number is toxic or of quality 0."""
+    from .url_filter import url_filter
+
+    labels = _table(spark, sf_dir, "labels")
+    bad = F.greatest(F.coalesce("toxic", F.lit(0)), 1 - F.coalesce("quality", F.lit(1)))
+    return url_filter(_table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES)
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    out = mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_scan, spans_text
+
+    out = secret_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("secret_base", lambda s: s["kind"] == k)).cast("long")
+    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(F.col("secret_base")), 256).alias("base_sha256"), spans_text(F.col("secret_spans")).alias("spans"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS s, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM d GROUP BY source),
+lv AS (SELECT a.source, (1.5 * (SELECT sum(s) FROM s) - coalesce((SELECT sum(2 * b.s) FROM s b WHERE 2 * b.s / b.w < 2 * a.s / a.w), 0)) / (SELECT sum(b.w) FROM s b WHERE 2 * b.s / b.w >= 2 * a.s / a.w) AS lev, 2 * a.s / a.w AS ratio FROM s a),
+pick AS (SELECT arg_min(lev, ratio) AS lev FROM lv WHERE lev <= ratio),
+t AS (SELECT source, s, round(CASE WHEN lev IS NULL THEN 2 * s ELSE least(2 * s, lev * w) END, 6) AS target FROM s, pick),
+t2 AS (SELECT *, CASE WHEN s > 0 THEN least(2, floor(target / s)) ELSE 0 END AS whole FROM t),
+g AS (SELECT source, h, sum(size) AS size FROM d GROUP BY source, h),
+c AS (SELECT g.source, h, sum(size) OVER (PARTITION BY g.source ORDER BY h) AS upto, size FROM g),
+k AS (SELECT c.source, h, CASE WHEN upto - size >= target - whole * s THEN 0 WHEN upto < target - whole * s THEN 1
+  WHEN upto - (target - whole * s) < (target - whole * s) - (upto - size) THEN 1 ELSE 0 END AS extra FROM c JOIN t2 ON c.source IS NOT DISTINCT FROM t2.source)
+SELECT doc_id, size, CAST(t2.s AS BIGINT) AS source_size, target, CAST((whole + CASE WHEN whole < 2 THEN extra ELSE 0 END) * size AS BIGINT) AS taken
+FROM d JOIN t2 ON d.source IS NOT DISTINCT FROM t2.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h
+"""
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS raw, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+u AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
+b AS (SELECT doc_id AS page_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1))) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+x AS (SELECT host, string_split(host, '.') AS l FROM (SELECT DISTINCT host FROM u)),
+nm AS (SELECT host, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, l[-1] AS one FROM x),
+nn AS (SELECT host, CASE WHEN two IN (@SUFFIXES) THEN three ELSE two END AS domain, CASE WHEN two IN (@SUFFIXES) THEN two ELSE one END AS suffix FROM nm),
+h AS (SELECT host, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, CAST(count(bad) AS DOUBLE) AS n FROM u LEFT JOIN b USING (page_id) GROUP BY host),
+hd AS (SELECT * FROM h JOIN nn USING (host)),
+sx AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM hd GROUP BY suffix),
+m0 AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.0) AS m0 FROM sx),
+m1 AS (SELECT suffix, (bad + m0 * 8) / (n + 8) AS m1 FROM sx, m0),
+m2 AS (SELECT domain, (bad + m1 * 8) / (n + 8) AS m2 FROM (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hd GROUP BY domain, suffix) JOIN m1 USING (suffix)),
+ab AS (SELECT host, bad + m2 * 8 AS a, n - bad + (1 - m2) * 8 AS b FROM hd JOIN m2 USING (domain)),
+r AS (SELECT host, a / (a + b) AS bad_mean, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bad_lower FROM ab),
+rules(action, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+hit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action FROM u, rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT u.page_id, u.host, u.path, rule, coalesce(action, CASE WHEN bad_lower > 0.2 THEN 'block' ELSE 'allow' END) AS verdict, round(bad_mean, 9) AS bad_mean, round(bad_lower, 9) AS bad_lower
+FROM u JOIN r ON u.host = r.host LEFT JOIN hit ON u.page_id = hit.page_id
+"""
+
+
+def _op2_sql() -> str:
+    from .url_filter import TWO_LABEL_SUFFIXES
+
+    return OP2_SQL.replace("@SUFFIXES", ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES))
+
+
+QUERIES.update(op2_url_filter=op2_url_filter, op5_mix_sources=op5_mix_sources, op10_secret_scan=op10_secret_scan)
+SQL.update(op2_url_filter=_op2_sql(), op5_mix_sources=OP5_SQL)
