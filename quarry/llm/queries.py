@@ -106,3 +106,35 @@ def _op2_sql() -> str:
 
 QUERIES.update(op2_url_filter=op2_url_filter, op5_mix_sources=op5_mix_sources, op10_secret_scan=op10_secret_scan)
 SQL.update(op2_url_filter=_op2_sql(), op5_mix_sources=OP5_SQL)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def severity_grades(labels: DataFrame) -> DataFrame:
+    """Ordered grades of the labels table: 0 clean, 1 toxic."""
+    return labels.select("doc_id", F.col("toxic").cast("int").alias("grade"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, severity_grades(_table(spark, sf_dir, "labels")))
+    return toxicity(docs, model)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose crc32(doc_id as text) mod 4 is 2 are held out; a null id hashes as the empty text."""
+    from .langid import fit_langid, langid
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    out = langid(docs, fit_langid(docs.where(~held)))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES.update(op4_license_scan=op4_license_scan, op6_toxicity=op6_toxicity, op7_language_id=op7_language_id)
