@@ -72,8 +72,8 @@ class LanguageModel:
     reject_below: float
 
 
-def fit_language(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dim: int = 16, epochs: int = 5, rate: float = 4.0, batch: int = 64, keep: float = 0.98, seed: int = 0) -> LanguageModel:
-    """Train on (distinct buckets, counts) per document. `keep` of the calibration rows stay above the rejection threshold."""
+def fit_language(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dim: int = 16, steps: int = 320, rate: float = 4.0, batch: int = 32, keep: float = 0.98, seed: int = 0) -> LanguageModel:
+    """Train on (distinct buckets, counts) per document, about `steps` minibatches. `keep` of the calibration rows stay above the rejection threshold."""
     names = sorted(set(labels))
     y = np.searchsorted(names, labels)
     rng = np.random.default_rng(seed)
@@ -96,6 +96,7 @@ def fit_language(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], d
         e = np.exp(z - z.max(1, keepdims=True))
         return mean, z, e / e.sum(1, keepdims=True)
 
+    epochs = max(1, round(steps * batch / max(len(train), 1)))
     for epoch in range(epochs if len(names) > 1 else 0):
         lr = rate * (1 - epoch / epochs)
         rng.shuffle(train)
