@@ -12,6 +12,8 @@ The items reach the tasks in blocks of bounded size, one pass over the documents
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -173,34 +175,66 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     reported once; null item ids are left out, null document ids are reported as null. Other columns
     are ignored; an empty table on either side gives no rows.
     """
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = None
 
     def pass_over(ids: list[int], words: list[bytes]) -> DataFrame:
         def search(batches):
             index = Index(ids, words, rate)
             for batch in batches:
                 own = batch.column(0).to_pylist()
-                body, offsets = textkit.buffers(batch.column(1))
-                for a, b in textkit.pieces(offsets):
-                    rows = index.search(*normalise(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+                for a, rows in _searched(index, batch.column(1)):
                     yield pa.record_batch([[own[a + r] for r, *_ in rows], [ids[t] for _, t, *_ in rows], [s for _, _, s, _, _ in rows], [e for *_, e, _ in rows], [c for *_, c in rows]], schema=_RESULT)
 
         return texts.mapInArrow(search, RESULT)
 
-    ids, words, size = [], [], 0
+    return reduce(DataFrame.unionByName, [pass_over(ids, words) for ids, words in _blocks(benchmark, item_id_col, item_text_col)])
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", rate: float = 0.05) -> DataFrame:
+    """The rows of `docs`, with all columns, in which no benchmark item is found; no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def pass_over(d: DataFrame, ids: list[int], words: list[bytes]) -> DataFrame:
+        def select(batches):
+            index = Index(ids, words, rate)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for a, rows in _searched(index, batch.column(at)):
+                    clean[[a + r for r, *_ in rows]] = False
+                yield batch.filter(pa.array(clean))
+
+        return d.mapInArrow(select, d.schema)
+
+    for ids, words in _blocks(benchmark, item_id_col, item_text_col):
+        docs = pass_over(docs, ids, words)
+    return docs
+
+
+def _searched(index: Index, column):
+    """(first row, matches) of each run of rows."""
+    body, offsets = textkit.buffers(column)
+    for a, b in textkit.pieces(offsets):
+        yield a, index.search(*normalise(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[list[int], list[bytes]]]:
+    """Normalised items in blocks of about BLOCK_BYTES; one empty block if there are none."""
+    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t")
+    out: list[tuple[list[int], list[bytes]]] = [([], [])]
+    seen: set[bytes] = set()
+    size, last = 0, None
     for r in items.toLocalIterator():
         body = np.frombuffer(r["t"].encode(), np.uint8)
         word = normalise(body, np.array([0, len(body)]))[0].tobytes().strip()
-        if not word or (ids and ids[-1] == r["i"] and words[-1] == word):
+        seen = seen if r["i"] == last else set()
+        last = r["i"]
+        if not word or word in seen:
             continue
-        if size + len(word) > BLOCK_BYTES and ids:
-            one = pass_over(ids, words)
-            out = one if out is None else out.unionByName(one)
-            ids, words, size = [], [], 0
-        ids.append(r["i"])
-        words.append(word)
+        seen.add(word)
+        if size + len(word) > BLOCK_BYTES and out[-1][0]:
+            out.append(([], []))
+            size = 0
+        out[-1][0].append(r["i"])
+        out[-1][1].append(word)
         size += len(word)
-    one = pass_over(ids, words)
-    return one if out is None else out.unionByName(one)
+    return out

@@ -61,47 +61,59 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0, source_col: str = "source") -> DataFrame:
-    """Add size, source_size, target and copies to (doc_id, text, source).
+def _same(a: str, b: str) -> Column:
+    return F.expr(f"{a}.source <=> {b}.source")
 
-    Each source contributes whole passes over its documents and then the documents of least hash,
-    as many as bring it nearest to its target. Returns doc_id, source, size, source_size, target,
-    copies (0 up to `most`) and taken = copies * size. A null text has size 0; null sources are one
-    source; repeated rows share their hash and are taken together; extra columns are ignored; an
-    empty table gives an empty result. The sizes are written once to the checkpoint folder, so no
-    pass reads texts again.
+
+def mix_plan(sized: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(source, source_size, target, whole, last) from checkpointed rows (source, size, h).
+
+    A document is taken `whole` times, and once more where its hash is at most `last`.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    d = checkpointed(d.withColumn("h", mix_hash(F.col("doc_id"))))
+    d = sized
     plan = checkpointed(water_fill(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     n = plan.count()
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     whole = F.least(whole, F.lit(int(most)))
     plan = plan.withColumn("whole", whole.cast("int")).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
-    same = lambda a, b: F.expr(f"{a}.source <=> {b}.source")
 
     state = plan.select("source", "left", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         at = F.shiftright(F.col("d.h"), shift)
-        inside = same("d", "s") & (F.shiftright(F.col("d.h"), shift + LEVEL_BITS) == F.col("s.prefix"))
+        inside = _same("d", "s") & (F.shiftright(F.col("d.h"), shift + LEVEL_BITS) == F.col("s.prefix"))
         b = d.alias("d").join(_small(state, n).alias("s"), inside).groupBy("s.source", "s.left", "s.below", at.alias("prefix")).agg(F.sum("d.size").alias("size"))
         run = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
         b = b.withColumn("upto", F.col("below") + F.sum("size").over(run))
         # The boundary is the first bucket whose end reaches the budget; without one all are taken.
         passed = F.col("upto") >= F.col("left")
-        b = b.groupBy("source", "left").agg(
-            F.min(F.when(passed, F.struct("prefix", (F.col("upto") - F.col("size")).alias("below"), "upto"))).alias("x"),
-            F.max(F.struct("prefix", (F.col("upto") - F.col("size")).alias("below"), "upto")).alias("y"))
-        b = b.withColumn("x", F.coalesce("x", "y"))
+        bucket = F.struct("prefix", (F.col("upto") - F.col("size")).alias("below"), "upto")
+        b = b.groupBy("source", "left").agg(F.coalesce(F.min(F.when(passed, bucket)), F.max(bucket)).alias("x"))
         state = checkpointed(b.select("source", "left", "x.prefix", "x.below", "x.upto"))
     # The last bucket is one hash: it is taken if that comes nearer to the budget.
     nearer = F.col("upto") - F.col("left") < F.col("left") - F.col("below")
     cut = state.select("source", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("last"))
-    p = plan.alias("p").join(cut.alias("c"), same("p", "c"), "left").select("p.source", "p.source_size", "p.target", "p.whole", F.coalesce("c.last", F.lit(-1)).alias("last"))
-    copies = F.col("p.whole") + F.when((F.col("d.h") <= F.col("p.last")) & (F.col("p.whole") < int(most)), 1).otherwise(0)
-    out = d.alias("d").join(_small(p, n).alias("p"), same("d", "p"))
-    return out.select("d.doc_id", "d.source", "d.size", "p.source_size", "p.target", copies.cast("int").alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"))
+    return checkpointed(plan.alias("p").join(cut.alias("c"), _same("p", "c"), "left").select("p.source", "p.source_size", "p.target", "p.whole", F.coalesce("c.last", F.lit(-1)).alias("last")))
 
 
+def mix_sources(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0, source_col: str = "source", keep: bool = False) -> DataFrame:
+    """The mix of (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
+
+    Each source contributes whole passes over its documents and then the documents of least hash,
+    as many as bring it nearest to its target; copies is 0 up to `most`, taken = copies * size. With
+    `keep`, all columns of `docs` stay, followed by size, source_size, target, copies and taken. A
+    null text has size 0; null sources are one source; repeated rows share their hash and are taken
+    together; an empty table gives an empty result. The sizes are written once to the checkpoint
+    folder, so the histograms don't read texts again.
+    """
+    size, h = word_count(F.col("text").cast("string")), mix_hash(F.col("doc_id"))
+    sized = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), h.alias("h")))
+    plan = mix_plan(sized, weights, share, most)
+    own = sized
+    if keep:
+        own = docs.select(*[F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "h")], size.alias("size"), h.alias("h"))
+        if source_col != "source":
+            own = own.withColumn("source", F.col(source_col))
+    copies = F.col("p.whole") + F.when((F.col("d.h") <= F.col("p.last")) & (F.col("p.whole") < int(most)), 1).otherwise(0)
+    out = own.alias("d").join(_small(plan, plan.count()).alias("p"), _same("d", "p"))
+    return out.select(*[F.col(f"d.`{c}`") for c in own.columns if c != "h"], "p.source_size", "p.target", copies.cast("int").alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"))

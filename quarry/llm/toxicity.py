@@ -138,3 +138,19 @@ def toxicity(docs: DataFrame, model: OrdinalModel, toxic_from: int = 1, threshol
             yield pa.record_batch([batch.column(0), s, p.sum(1), q, (p >= 0.5).sum(1).astype(np.int32), q >= threshold], names=["doc_id", "score", "severity", "p_toxic", "grade", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predict, RESULT)
+
+
+def without_toxic(docs: DataFrame, model: OrdinalModel, toxic_from: int = 1, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all columns, whose text the model doesn't reject; no shuffle."""
+    names = np.flatnonzero(model.weights)
+    values, cuts, at = model.weights[names], model.cuts, docs.columns.index("text")
+
+    def select(batches):
+        weights = np.zeros(1 << BITS)
+        weights[names] = values
+        m = OrdinalModel(weights, cuts)
+        for batch in batches:
+            p = m.at_least(m.score(*_features(batch.column(at)), batch.num_rows))
+            yield batch.filter(pa.array(p[:, min(toxic_from, p.shape[1]) - 1] < threshold))
+
+    return docs.mapInArrow(select, docs.schema)
