@@ -29,7 +29,8 @@ def n_groups(spark: SparkSession) -> int:
 
 
 def bucket_bits(spark: SparkSession) -> int:
-    return max(4, math.ceil(math.log2(n_groups(spark))))
+    """About half as many buckets as shuffle partitions: rows sent number groups times buckets."""
+    return max(4, math.ceil(math.log2(n_groups(spark) / 4)))
 
 
 def group_of(id_col: Column, groups: int) -> Column:
