@@ -6,8 +6,9 @@
    the shingle of least ln c - r (t - b) - r. Two texts agree in a sample with a probability equal
    to their weighted Jaccard similarity. Texts that agree in a whole band share a bucket.
 3. A bucket's text of least id leads it. Members are verified against the leader by exact weighted
-   Jaccard similarity; those below the threshold form the bucket again without it, until every
-   member is linked or has led. A bucket is a star per round, never all of its pairs, without a cap.
+   Jaccard similarity. Members that no link, in this or any other bucket, brought into the leader's
+   component form the bucket again, now with the 8, 64, ... least ids as leaders, until every member
+   has a component with a leader or has led. No bucket emits all of its pairs, and none is capped.
 4. Links join into components by minimum labels; a class is named by its least id.
 
 The weight of a shingle is (1 + ln tf) * (1 + alpha * ln(1 + N / df) / ln(1 + N)). alpha is small on
@@ -22,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import packed, textkit
@@ -146,6 +147,11 @@ def components(links: DataFrame, a: str = "u", b: str = "l") -> DataFrame:
             return labels
 
 
+def _with_component(rows: DataFrame, known: DataFrame, node: str, name: str) -> DataFrame:
+    """The component of column `node`, which is the node itself where it has no link."""
+    return rows.join(known.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 4, alpha: float = 0.25) -> DataFrame:
     """(doc_id, class_id, copy_of, n_links) for every distinct id.
 
@@ -247,29 +253,41 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         side = known.unionByName(pairs).unionByName(sent)
         return some.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(compare, "u long, l long, sim double")
 
-    checked = None
+    links, known, leaders = None, None, 1
     while True:
-        lead = checkpointed(member.groupBy("key").agg(F.min("u").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l"))
-        pairs = checkpointed(member.join(lead, "key").where("u <> l").select("key", "u", "l"))
+        if leaders == 1:
+            lead = member.groupBy("key").agg(F.min("u").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l")
+        else:
+            nth = F.row_number().over(Window.partitionBy("key").orderBy("u"))
+            lead = member.withColumn("nth", nth).where(F.col("nth") <= leaders).select("key", F.col("u").alias("l"))
+        lead = checkpointed(lead)
+        pairs = checkpointed(member.join(lead, "key").where("l < u").select("key", "u", "l"))
         ask = pairs.select("u", "l").distinct()
-        if checked is not None:
-            ask = ask.join(checked.select("u", "l"), ["u", "l"], "left_anti")
+        if known is not None:  # a pair within one component has nothing to add
+            ask = _with_component(ask, known, "u", "cu")
+            ask = _with_component(ask, known, "l", "cl").where("cu <> cl").select("u", "l")
         ask = checkpointed(ask)
-        if not ask.limit(1).count():
-            if not pairs.limit(1).count():
-                break
-            new = None
+        if ask.limit(1).count():
+            new = checkpointed(verify(ask).where(F.col("sim") >= threshold).select("u", "l"))
+            if links is None or new.limit(1).count():
+                links = new if links is None else links.unionByName(new)
+                known = components(links)
+        elif not pairs.limit(1).count():
+            break
+        if known is not None:
+            apart = _with_component(_with_component(pairs, known, "u", "cu"), known, "l", "cl")
+            apart = apart.groupBy("key", "u").agg(F.max(F.when(F.col("cu") == F.col("cl"), 1).otherwise(0)).alias("same")).where("same = 0").select("key", "u")
         else:
-            new = checkpointed(verify(ask))
-        checked = new if checked is None else checked if new is None else checked.unionByName(new)
-        below = checked.where(F.col("sim") < threshold).select("u", "l")
-        member = checkpointed(pairs.join(below, ["u", "l"], "left_semi").select("u", "key"))
+            apart = pairs.select("key", "u").distinct()
+        if leaders > 1:
+            apart = apart.join(lead.withColumnRenamed("l", "u"), ["key", "u"], "left_anti")
+        member = checkpointed(apart)
+        leaders *= 8
     out = worded.join(texts.select("digest", "u"), "digest").select("ids", "u")
-    if checked is not None:
-        links = checked.where(F.col("sim") >= threshold).select("u", "l")
+    if links is not None:
         degree = links.groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
-        known = components(links).join(degree.withColumnRenamed("u", "node"), "node", "left")
-        out = out.join(checkpointed(known), F.col("u") == F.col("node"), "left").select("ids", "u", "comp", "n_links")
+        named = checkpointed(known.join(degree.withColumnRenamed("u", "node"), "node", "left"))
+        out = out.join(named, F.col("u") == F.col("node"), "left").select("ids", "u", "comp", "n_links")
     else:
         out = out.withColumns({"comp": F.lit(None).cast("long"), "n_links": F.lit(0).cast("long")})
     out = out.select(F.explode("ids").alias("doc_id"), F.coalesce("comp", "u").alias("class_id"), F.col("u").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows, written as a table to the shared folder and read again.
+
+    A table rather than checkpoint(): a checkpoint keeps the size that its plan was estimated at, and
+    over the rounds of an iteration those products of products make planning itself slow.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
