@@ -147,6 +147,13 @@ def components(links: DataFrame, a: str = "u", b: str = "l") -> DataFrame:
             return labels
 
 
+def _star_labels(links: DataFrame) -> DataFrame:
+    """(node, comp) after one step of `components`: equal labels are surely connected, unequal ones may be."""
+    own = links.groupBy(F.col("u").alias("node")).agg(F.min("l").alias("comp"))
+    lead = links.select(F.col("l").alias("node")).distinct().join(own.select("node"), "node", "left_anti")
+    return own.unionByName(lead.select("node", F.col("node").alias("comp")))
+
+
 def _with_component(rows: DataFrame, known: DataFrame, node: str, name: str) -> DataFrame:
     """The component of column `node`, which is the node itself where it has no link."""
     return rows.join(known.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
@@ -271,7 +278,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             new = checkpointed(verify(ask).where(F.col("sim") >= threshold).select("u", "l"))
             if links is None or new.limit(1).count():
                 links = new if links is None else links.unionByName(new)
-                known = components(links)
+                known = checkpointed(_star_labels(links))
         elif not pairs.limit(1).count():
             break
         if known is not None:
@@ -286,7 +293,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     out = worded.join(texts.select("digest", "u"), "digest").select("ids", "u")
     if links is not None:
         degree = links.groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
-        named = checkpointed(known.join(degree.withColumnRenamed("u", "node"), "node", "left"))
+        named = checkpointed(components(links).join(degree.withColumnRenamed("u", "node"), "node", "left"))
         out = out.join(named, F.col("u") == F.col("node"), "left").select("ids", "u", "comp", "n_links")
     else:
         out = out.withColumns({"comp": F.lit(None).cast("long"), "n_links": F.lit(0).cast("long")})
