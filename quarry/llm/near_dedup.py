@@ -7,7 +7,7 @@
    to their weighted Jaccard similarity. Texts that agree in a whole band share a bucket.
 3. A bucket's text of least id leads it. Members are verified against the leader by exact weighted
    Jaccard similarity. Members that no link, in this or any other bucket, brought into the leader's
-   component form the bucket again, now with the 8, 64, ... least ids as leaders, until every member
+   component form the bucket again, now with the 16, 256, ... least ids as leaders, until every member
    has a component with a leader or has led. No bucket emits all of its pairs, and none is capped.
 4. Links join into components by minimum labels; a class is named by its least id.
 
@@ -32,6 +32,8 @@ from .shared import checkpointed
 WIDTH = 5  # bytes of a shingle's hash that are sent, below the bucket's bits
 #: Most ids that are broadcast to thin out the documents before a verification; beyond it all are dealt.
 BROADCAST_IDS = 1_000_000
+#: Factor by which the leaders of a bucket's remaining members grow from round to round.
+GROWTH = 16
 _POOL = np.random.default_rng(31337)
 _R = _POOL.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
 _C = np.log(_POOL.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
@@ -127,23 +129,23 @@ def weighted_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.ndar
 def components(links: DataFrame, a: str = "u", b: str = "l") -> DataFrame:
     """(node, comp) for every node of the links: the least node that it is connected with.
 
-    Each round passes labels both ways over the links and then jumps to the label's own label, so
-    rounds grow with the logarithm of a chain's length. Links and labels are read from checkpoints,
-    so joins on a hot node are dealt by plain exchanges, which Spark can split.
+    Labels start as the least neighbour. Each round passes them both ways over the links and then
+    jumps to the label's own label, so rounds grow with the logarithm of a chain's length. Links come
+    from written tables and labels are written too, so joins on a hot node are dealt by plain
+    exchanges, which Spark can split.
     """
-    links = checkpointed(links.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
-    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    labels = checkpointed(nodes.select("node", F.col("node").alias("comp")))
+    links = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = checkpointed(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).select("node", F.least("node", "comp").alias("comp")))
     while True:
         la = links.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp")
         lb = links.join(labels.select(F.col("node").alias("a"), "comp"), "a").select(F.col("b").alias("node"), "comp")
-        near = la.unionByName(lb).unionByName(labels).groupBy("node").agg(F.min("comp").alias("comp"))
-        near = checkpointed(near)
+        passed = la.unionByName(lb).withColumn("old", F.lit(None).cast("long")).unionByName(labels.select("node", "comp", F.col("comp").alias("old")))
+        near = checkpointed(passed.groupBy("node").agg(F.min("comp").alias("comp"), F.min("old").alias("old")))
         up = near.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        new = checkpointed(near.join(up, "comp", "left").select("node", F.least("comp", F.coalesce("top", "comp")).alias("comp")))
-        moved = new.join(labels.withColumnRenamed("comp", "old"), "node").where(F.col("comp") != F.col("old")).limit(1).count()
-        labels = new
-        if not moved:
+        new = checkpointed(near.join(up, "comp", "left").select("node", F.least("comp", F.coalesce("top", "comp")).alias("comp"), "old"))
+        labels = new.select("node", "comp")
+        if not new.where("comp <> old").limit(1).count():
             return labels
 
 
@@ -208,7 +210,6 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     worded = signed.where(F.size("bands") > 0)
     texts = checkpointed(worded.groupBy("digest").agg(F.min(F.element_at("ids", 1)).alias("u"), F.min("bands").alias("bands")))
     member = texts.select("u", F.explode("bands").alias("key"))
-    member = checkpointed(member)
 
     def vector(t: pa.Table, levels: dict[int, bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         s = _Shingles(t["text"], shingle, bits)
@@ -245,14 +246,15 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     levels = worded.select("grp", F.lit("levels").alias("kind"), F.element_at("ids", 1).alias("a"), F.lit(None).cast("long").alias("b"), F.col("levels").alias("vals"))
     nothing = F.lit(None).cast("binary").alias("vals")
 
-    def verify(ask: DataFrame) -> DataFrame:
-        """(u, l, sim): the leaders' vectors go once to each group that asks, wherever a leader is hot."""
-        ids = checkpointed(ask.select(F.col("u").alias("id")).unionByName(ask.select(F.col("l").alias("id"))).distinct())
+    def verify(ask: DataFrame, n: int) -> DataFrame:
+        """(u, l, sim) of n pairs: the leaders' vectors go once to each group that asks, wherever a leader is hot."""
+        ids = ask.select(F.col("u").alias("a")).unionByName(ask.select(F.col("l").alias("a"))).distinct()
         few = docs
-        if ids.count() <= BROADCAST_IDS:
-            few = docs.join(F.broadcast(ids.withColumnRenamed("id", id_col)), id_col, "left_semi")
+        if 2 * n <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+            few = docs.join(F.broadcast(ids.withColumnRenamed("a", id_col)), id_col, "left_semi")
         some = packed.dealt(few, id_col, text_col, groups)
-        known = levels.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").select("grp", "kind", "a", "b", "vals")
+        known = levels.join(ids, "a", "left_semi").select("grp", "kind", "a", "b", "vals")
         gu, gl = packed.group_of(F.col("u"), groups), packed.group_of(F.col("l"), groups)
         asks = ask.select(gl.alias("grp"), F.lit("ask").alias("kind"), F.col("l").alias("a"), gu.cast("long").alias("b")).distinct().withColumn("vals", nothing)
         sent = some.groupBy("grp").cogroup(known.unionByName(asks).groupBy("grp")).applyInArrow(ship, SIDE)
@@ -274,13 +276,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             ask = _with_component(ask, known, "u", "cu")
             ask = _with_component(ask, known, "l", "cl").where("cu <> cl").select("u", "l")
         ask = checkpointed(ask)
-        if ask.limit(1).count():
-            new = checkpointed(verify(ask).where(F.col("sim") >= threshold).select("u", "l"))
-            if links is None or new.limit(1).count():
-                links = new if links is None else links.unionByName(new)
-                known = checkpointed(_star_labels(links))
-        elif not pairs.limit(1).count():
-            break
+        n = ask.count()
+        if n:
+            new = checkpointed(verify(ask, n).where(F.col("sim") >= threshold).select("u", "l"))
+            links = new if links is None else links.unionByName(new)
+            known = checkpointed(_star_labels(links))
         if known is not None:
             apart = _with_component(_with_component(pairs, known, "u", "cu"), known, "l", "cl")
             apart = apart.groupBy("key", "u").agg(F.max(F.when(F.col("cu") == F.col("cl"), 1).otherwise(0)).alias("same")).where("same = 0").select("key", "u")
@@ -289,11 +289,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         if leaders > 1:
             apart = apart.join(lead.withColumnRenamed("l", "u"), ["key", "u"], "left_anti")
         member = checkpointed(apart)
-        leaders *= 8
+        if not member.limit(1).count():
+            break
+        leaders *= GROWTH
     out = worded.join(texts.select("digest", "u"), "digest").select("ids", "u")
     if links is not None:
         degree = links.groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
-        named = checkpointed(components(links).join(degree.withColumnRenamed("u", "node"), "node", "left"))
+        named = components(links).join(degree.withColumnRenamed("u", "node"), "node", "left")
         out = out.join(named, F.col("u") == F.col("node"), "left").select("ids", "u", "comp", "n_links")
     else:
         out = out.withColumns({"comp": F.lit(None).cast("long"), "n_links": F.lit(0).cast("long")})
