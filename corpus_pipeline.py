@@ -59,7 +59,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Weighted sampling and the severity model have no SQL form; a brute-force test covers the stages.
+#: Weighted sampling and the severity model have no SQL form. No brute-force test covers the stages yet.
 ORACLE_SQL = None
 
 
