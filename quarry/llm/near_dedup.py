@@ -5,10 +5,11 @@
    r, c ~ Gamma(2, 1) and b ~ U(0, 1) by shingle and sample, t = floor(ln w / r + b), the sample is
    the shingle of least ln c - r (t - b) - r. Two texts agree in a sample with a probability equal
    to their weighted Jaccard similarity. Texts that agree in a whole band share a bucket.
-3. A bucket's text of least id leads it. Members are verified against the leader by exact weighted
-   Jaccard similarity. Members that no link, in this or any other bucket, brought into the leader's
-   component form the bucket again, now with the 16, 256, ... least ids as leaders, until every member
-   has a component with a leader or has led. No bucket emits all of its pairs, and none is capped.
+3. A bucket's text of least id leads it, and every member is verified against it by exact weighted
+   Jaccard similarity. Where all members end in the leader's component, nothing is left to do. In the
+   other buckets each member outside that component is verified against every member of another
+   component, unless the distances of both to the leader differ by more than 1 - threshold: weighted
+   Jaccard distance is a metric, so these cannot link. No link within a bucket is lost, and none is capped.
 4. Links join into components by minimum labels; a class is named by its least id.
 
 The weight of a shingle is (1 + ln tf) * (1 + alpha * ln(1 + N / df) / ln(1 + N)). alpha is small on
@@ -23,7 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed, textkit
@@ -32,8 +33,8 @@ from .shared import checkpointed
 WIDTH = 5  # bytes of a shingle's hash that are sent, below the bucket's bits
 #: Most ids that are broadcast to thin out the documents before a verification; beyond it all are dealt.
 BROADCAST_IDS = 1_000_000
-#: Factor by which the leaders of a bucket's remaining members grow from round to round.
-GROWTH = 16
+#: Slack for the rounding of 32-bit weights where distances are compared.
+SLACK = 1e-4
 _POOL = np.random.default_rng(31337)
 _R = _POOL.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
 _C = np.log(_POOL.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
@@ -149,18 +150,26 @@ def components(links: DataFrame, a: str = "u", b: str = "l") -> DataFrame:
             return labels
 
 
-def _star_labels(links: DataFrame) -> DataFrame:
-    """(node, comp) after one step of `components`: equal labels are surely connected, unequal ones may be."""
-    own = links.groupBy(F.col("u").alias("node")).agg(F.min("l").alias("comp"))
-    lead = links.select(F.col("l").alias("node")).distinct().join(own.select("node"), "node", "left_anti")
-    return own.unionByName(lead.select("node", F.col("node").alias("comp")))
-
-
 def _with_component(rows: DataFrame, known: DataFrame, node: str, name: str) -> DataFrame:
     """The component of column `node`, which is the node itself where it has no link."""
     return rows.join(known.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def _across(pairs: DataFrame, sims: DataFrame, known: DataFrame, reach: float) -> DataFrame:
+    """(u, l) of the bucket members in different components that may link though neither leads.
+
+    A member outside its leader's component meets the members of other components whose distance to
+    the leader is within `reach` of its own. Those inside the leader's component never meet each
+    other, so a large group of copies costs one row for each of its members and outsider.
+    """
+    with_both = _with_component(_with_component(pairs, known, "u", "cu"), known, "l", "cl")
+    outside = checkpointed(with_both.where("cu <> cl").join(sims, ["u", "l"]).select("key", F.col("u").alias("l"), F.col("cu").alias("cr"), F.col("sim").alias("sr")))
+    mixed = outside.select("key").distinct()
+    inner = checkpointed(with_both.join(mixed, "key", "left_semi").join(sims, ["u", "l"]).select("key", "u", "cu", (F.col("cu") != F.col("cl")).alias("out"), "sim"))
+    met = inner.join(outside, "key").where((F.col("cu") != F.col("cr")) & (F.abs(F.col("sim") - F.col("sr")) <= reach) & (~F.col("out") | (F.col("u") > F.col("l"))))
+    return met.select("u", "l").distinct()
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 4, alpha: float = 0.25) -> DataFrame:
     """(doc_id, class_id, copy_of, n_links) for every distinct id.
 
@@ -262,40 +271,27 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         side = known.unionByName(pairs).unionByName(sent)
         return some.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(compare, "u long, l long, sim double")
 
-    links, known, leaders = None, None, 1
-    while True:
-        if leaders == 1:
-            lead = member.groupBy("key").agg(F.min("u").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l")
-        else:
-            nth = F.row_number().over(Window.partitionBy("key").orderBy("u"))
-            lead = member.withColumn("nth", nth).where(F.col("nth") <= leaders).select("key", F.col("u").alias("l"))
-        lead = checkpointed(lead)
-        pairs = checkpointed(member.join(lead, "key").where("l < u").select("key", "u", "l"))
-        ask = pairs.select("u", "l").distinct()
-        if known is not None:  # a pair within one component has nothing to add
-            ask = _with_component(ask, known, "u", "cu")
-            ask = _with_component(ask, known, "l", "cl").where("cu <> cl").select("u", "l")
-        ask = checkpointed(ask)
-        n = ask.count()
-        if n:
-            new = checkpointed(verify(ask, n).where(F.col("sim") >= threshold).select("u", "l"))
-            links = new if links is None else links.unionByName(new)
-            known = checkpointed(_star_labels(links))
-        if known is not None:
-            apart = _with_component(_with_component(pairs, known, "u", "cu"), known, "l", "cl")
-            apart = apart.groupBy("key", "u").agg(F.max(F.when(F.col("cu") == F.col("cl"), 1).otherwise(0)).alias("same")).where("same = 0").select("key", "u")
-        else:
-            apart = pairs.select("key", "u").distinct()
-        if leaders > 1:
-            apart = apart.join(lead.withColumnRenamed("l", "u"), ["key", "u"], "left_anti")
-        member = checkpointed(apart)
-        if not member.limit(1).count():
-            break
-        leaders *= GROWTH
+    lead = member.groupBy("key").agg(F.min("u").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l")
+    pairs = checkpointed(member.join(lead, "key").where("l < u").select("key", "u", "l"))
+    ask = checkpointed(pairs.select("u", "l").distinct())
+    n = ask.count()
     out = worded.join(texts.select("digest", "u"), "digest").select("ids", "u")
-    if links is not None:
-        degree = links.groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
-        named = components(links).join(degree.withColumnRenamed("u", "node"), "node", "left")
+    if n:
+        sims = checkpointed(verify(ask, n))
+        links = sims.where(F.col("sim") >= threshold).select("u", "l")
+        known = components(links)
+        cross = checkpointed(_across(pairs, sims, known, 1 - threshold + SLACK))
+        n = cross.count()
+        if n:
+            new = checkpointed(verify(cross, n).where(F.col("sim") >= threshold).select("u", "l"))
+            ends = _with_component(_with_component(new, known, "u", "cu"), known, "l", "cl")
+            joined = components(ends.where("cu <> cl").select(F.col("cu").alias("u"), F.col("cl").alias("l")).distinct())
+            # A component without links before is a node that `known` does not hold.
+            every = known.unionByName(joined.select("node", F.col("node").alias("comp")).join(known.select("node"), "node", "left_anti"))
+            known = _with_component(every.withColumnRenamed("comp", "old"), joined, "old", "comp").select("node", "comp")
+            links = links.unionByName(new)
+        degree = links.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+        named = known.join(degree, "node", "left")
         out = out.join(named, F.col("u") == F.col("node"), "left").select("ids", "u", "comp", "n_links")
     else:
         out = out.withColumns({"comp": F.lit(None).cast("long"), "n_links": F.lit(0).cast("long")})
