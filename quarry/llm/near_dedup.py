@@ -1,15 +1,18 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Document frequencies of all word shingles come from the packed exchange (packed.py).
-2. Every distinct text gets `bands * rows` consistent weighted samples of its TF-IDF shingles: with
+2. Shingles that no other document holds bound what a text can have in common with any other: with W
+   its whole and C its common weight, a link to another needs C >= threshold * W. Texts that fail are
+   classes of their own. With C summed in blocks of the shingles' hashes and M the sum of both texts'
+   lesser blocks, M / (W + W' - M) bounds the similarity of two texts. Every other distinct text gets `bands * rows` consistent weighted samples of its TF-IDF shingles: with
    r, c ~ Gamma(2, 1) and b ~ U(0, 1) by shingle and sample, t = floor(ln w / r + b), the sample is
    the shingle of least ln c - r (t - b) - r. Two texts agree in a sample with a probability equal
    to their weighted Jaccard similarity. Texts that agree in a whole band share a bucket.
 3. A bucket's text of least id leads it, and every member is verified against it by exact weighted
    Jaccard similarity. Where all members end in the leader's component, nothing is left to do. In the
    other buckets each member outside that component is verified against every member of another
-   component, unless the distances of both to the leader differ by more than 1 - threshold: weighted
-   Jaccard distance is a metric, so these cannot link. No link within a bucket is lost, and none is capped.
+   component, unless that bound is too small or the distances of both to the leader differ by more than 1 - threshold: weighted
+   Jaccard distance is a metric, so those cannot link. No link within a bucket is lost, and none is capped.
 4. Links join into components by minimum labels; a class is named by its least id.
 
 The weight of a shingle is (1 + ln tf) * (1 + alpha * ln(1 + N / df) / ln(1 + N)). alpha is small on
@@ -33,14 +36,16 @@ from .shared import checkpointed
 WIDTH = 5  # bytes of a shingle's hash that are sent, below the bucket's bits
 #: Most ids that are broadcast to thin out the documents before a verification; beyond it all are dealt.
 BROADCAST_IDS = 1_000_000
+#: Blocks of shingles whose weights bound what two texts share.
+BLOCKS = 64
 #: Slack for the rounding of 32-bit weights where distances are compared.
 SLACK = 1e-4
 _POOL = np.random.default_rng(31337)
 _R = _POOL.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
 _C = np.log(_POOL.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
 _B = _POOL.random(1 << 16, dtype=np.float32)
-SIGNED = "grp int, digest binary, ids array<long>, bands array<long>, levels binary"
-_SIGNED = pa.schema([("grp", pa.int32()), ("digest", pa.binary()), ("ids", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("levels", pa.binary())])
+SIGNED = "grp int, digest binary, ids array<long>, bands array<long>, levels binary, whole double, common array<float>"
+_SIGNED = pa.schema([("grp", pa.int32()), ("digest", pa.binary()), ("ids", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("levels", pa.binary()), ("whole", pa.float64()), ("common", pa.list_(pa.float32()))])
 SIDE = "grp int, kind string, a long, b long, vals binary"
 _SIDE = pa.schema([("grp", pa.int32()), ("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("vals", pa.binary())])
 _LINK = pa.schema([("u", pa.int64()), ("l", pa.int64()), ("sim", pa.float64())])
@@ -155,18 +160,20 @@ def _with_component(rows: DataFrame, known: DataFrame, node: str, name: str) ->
     return rows.join(known.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _across(pairs: DataFrame, sims: DataFrame, known: DataFrame, reach: float) -> DataFrame:
+def _across(pairs: DataFrame, sims: DataFrame, known: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
     """(u, l) of the bucket members in different components that may link though neither leads.
 
     A member outside its leader's component meets the members of other components whose distance to
-    the leader is within `reach` of its own. Those inside the leader's component never meet each
+    the leader is within 1 - `least` of its own, if the bound of both weights allows `least`. Those inside the leader's component never meet each
     other, so a large group of copies costs one row for each of its members and outsider.
     """
     with_both = _with_component(_with_component(pairs, known, "u", "cu"), known, "l", "cl")
-    outside = checkpointed(with_both.where("cu <> cl").join(sims, ["u", "l"]).select("key", F.col("u").alias("l"), F.col("cu").alias("cr"), F.col("sim").alias("sr")))
+    outside = checkpointed(with_both.where("cu <> cl").join(sims, ["u", "l"]).join(sizes, "u").select("key", F.col("u").alias("l"), F.col("cu").alias("cr"), F.col("sim").alias("sr"), F.col("whole").alias("wr"), F.col("common").alias("mr")))
     mixed = outside.select("key").distinct()
-    inner = checkpointed(with_both.join(mixed, "key", "left_semi").join(sims, ["u", "l"]).select("key", "u", "cu", (F.col("cu") != F.col("cl")).alias("out"), "sim"))
-    met = inner.join(outside, "key").where((F.col("cu") != F.col("cr")) & (F.abs(F.col("sim") - F.col("sr")) <= reach) & (~F.col("out") | (F.col("u") > F.col("l"))))
+    inner = checkpointed(with_both.join(mixed, "key", "left_semi").join(sims, ["u", "l"]).join(sizes, "u").select("key", "u", "cu", (F.col("cu") != F.col("cl")).alias("out"), "sim", "whole", "common"))
+    shared = F.aggregate(F.zip_with("common", "mr", lambda x, y: F.least(x, y)), F.lit(0.0), lambda total, x: total + x.cast("double"))
+    may = (F.abs(F.col("sim") - F.col("sr")) <= 1 - least) & (shared * (1 + least) >= least * (F.col("whole") + F.col("wr")))
+    met = inner.join(outside, "key").where((F.col("cu") != F.col("cr")) & may & (~F.col("out") | (F.col("u") > F.col("l"))))
     return met.select("u", "l").distinct()
 
 
@@ -198,12 +205,16 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         level = packed.received(side, "level", k, bits, lambda v, n: np.frombuffer(v, np.uint8), np.zeros(len(k), np.uint8))[place]
         digest, ids = t["digest"].to_pylist(), t["id"].to_pylist()
         new = [i for i in range(len(ids)) if not i or digest[i] != digest[i - 1]]
-        own = [i for i in new if s.edge[i + 1] > s.edge[i]]
+        weight = s.weights(level, total, alpha)
+        whole = np.bincount(s.rows, weight, len(ids))
+        block = s.rows * BLOCKS + (textkit.mix(s.keys) % np.uint64(BLOCKS)).astype(np.int64)
+        common = np.bincount(block, np.where(level > 0, weight, 0.0), len(ids) * BLOCKS).reshape(-1, BLOCKS)
+        own = [i for i in new if s.edge[i + 1] > s.edge[i] and common[i].sum() >= (threshold - SLACK) * whole[i]]
         use = np.zeros(len(ids), bool)
         use[own] = True
         pick = use[s.rows]
         edge = np.concatenate(([0], np.cumsum(np.diff(s.edge)[own]))).astype(np.int64)
-        sampled = weighted_samples(s.keys[pick], s.weights(level, total, alpha)[pick], edge, bands * rows)
+        sampled = weighted_samples(s.keys[pick], weight[pick], edge, bands * rows)
         band = np.zeros((len(own), bands), np.uint64)
         for j in range(bands):
             band[:, j] = textkit.grams(sampled[:, j * rows : (j + 1) * rows].ravel(), rows)[::rows] + np.uint64(j) if len(own) else 0
@@ -211,13 +222,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         ends = [*new[1:], len(ids)]
         return pa.table([
             [key[0].as_py()] * len(new), [digest[i] for i in new], [ids[i:e] for i, e in zip(new, ends)], [band.get(i, []) for i in new],
-            [zlib.compress(level[s.edge[i] : s.edge[i + 1]].tobytes(), 1) for i in new]], schema=_SIGNED)
+            [zlib.compress(level[s.edge[i] : s.edge[i + 1]].tobytes(), 1) if i in band else None for i in new], whole[new], [common[i].astype(np.float32) if i in band else None for i in new]], schema=_SIGNED)
 
     back = packed.answer(dealt.groupBy("grp").applyInArrow(keys, packed.SENT), "level", WIDTH, _frequency)
     signed = checkpointed(dealt.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(sign, SIGNED))
-    # A text without words is a class of its own for each id; other copies share the least id.
+    # A text without words, or one that can have no link, is a class of its own; other copies share the least id.
     worded = signed.where(F.size("bands") > 0)
-    texts = checkpointed(worded.groupBy("digest").agg(F.min(F.element_at("ids", 1)).alias("u"), F.min("bands").alias("bands")))
+    texts = checkpointed(worded.groupBy("digest").agg(F.min(F.element_at("ids", 1)).alias("u"), F.min("bands").alias("bands"), F.min("whole").alias("whole"), F.min("common").alias("common")))
     member = texts.select("u", F.explode("bands").alias("key"))
 
     def vector(t: pa.Table, levels: dict[int, bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -280,7 +291,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         sims = checkpointed(verify(ask, n))
         links = sims.where(F.col("sim") >= threshold).select("u", "l")
         known = components(links)
-        cross = checkpointed(_across(pairs, sims, known, 1 - threshold + SLACK))
+        cross = checkpointed(_across(pairs, sims, known, texts.select("u", "whole", "common"), threshold - SLACK))
         n = cross.count()
         if n:
             new = checkpointed(verify(cross, n).where(F.col("sim") >= threshold).select("u", "l"))
