@@ -1,7 +1,9 @@
 """Operators against brute force on small tables with nulls, ties, repeats and empty texts."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,3 +106,35 @@ def test_mix_stays_within_bounds(spark):
 def test_license_labels(spark, text, labels):
     got = licenses.license_scan(spark.createDataFrame([(1, text, "g")], SCHEMA)).collect()
     assert got[0]["labels"] == labels
+
+
+def near_copies(seed, families=6, copies=25, length=160):
+    """Families of texts whose copies have from few to many words replaced or dropped, some edits shared."""
+    r = random.Random(seed)
+    out = []
+    for f in range(families):
+        base = words(length, 100 + f)
+        for c in range(copies):
+            own = list(base)
+            for _ in range(r.randrange(1, 8)):
+                k = r.randrange(len(own))
+                own[k : k + 1] = [] if r.random() < 0.4 else [r.choice(["the", "from", f"x{f}{c}"])]
+            out.append(" ".join(own))
+    return out
+
+
+def test_near_dedup_classes_equal_brute_force(spark):
+    texts = near_copies(5) + ["lone words " + " ".join(words(80, 900 + k)) for k in range(10)]
+    grams = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, texts)]
+    df, n = Counter(g for c in grams for g in c), len(texts)
+    weigh = [{g: (1 + math.log(t)) * (1 + 0.25 * math.log1p(n / 2 ** (round(8 * math.log2(df[g])) / 8)) / math.log1p(n)) for g, t in c.items()} for c in grams]
+    comp = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            low = sum(min(w, weigh[b].get(g, 0)) for g, w in weigh[a].items())
+            if low / (sum(weigh[a].values()) + sum(weigh[b].values()) - low) >= 0.8 and comp[a] != comp[b]:
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = [new if c == old else c for c in comp]
+    got = near_dedup.near_dedup(spark.createDataFrame([(k, t, "g") for k, t in enumerate(texts)], SCHEMA)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(comp))
+    assert 10 < len(set(comp)) < n
