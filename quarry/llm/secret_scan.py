@@ -7,8 +7,10 @@ uniformity over four equal ranges, a runs test about the alphabet's middle, and
 correlation test, joined by Bonferroni. Ordinary words fail these tests, the more surely the longer
 they are, so the threshold is set per encoding and length class: tokens with p above 1/2 tell how
 many random ones there are, and the lowest threshold is taken at which the share of others among
-the accepted is at most `fdr`. All of it is built-in expressions; the histogram behind the
-thresholds has a fixed number of cells.
+the accepted is at most `fdr`. Each distinct token counts once there, however often it is repeated.
+Where all of a class's tokens may well be random, as where they are few, the lowest threshold 1/BINS
+is taken: too few tokens say nothing about others. All of it is built-in expressions; the histogram
+behind the thresholds has a fixed number of cells.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HEX = "0123456789abcdef"
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 BINS = 50
+#: Standard deviations by which tokens above 1/2 may fall short of half before a class is held to have others (1 %).
+SLACK = 2.33
 
 
 def _found(text: str, pattern: str, value: str | None = None, least: int = 0) -> Column:
@@ -54,18 +58,18 @@ def _erfc(t: Column) -> Column:
 
 
 def _tested(tokens: Column) -> Column:
-    """array<struct<start, end, r: struct<stratum, p>>>: the battery's p-value of each token.
+    """array<struct<start, end, r: struct<stratum, p, h>>>: the battery's p-value of each token, and its hash.
 
     Each step is a transform of the step before, so nothing is evaluated twice; one fold over the
     characters (as fractions of the alphabet) gathers all sums that the three tests need.
     """
-    plain = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["m"].alias("m"), F.when(t["m"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(t["m"].rlike("^[A-Z2-7]+$"), 32).otherwise(64).alias("k")))
+    plain = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["m"].alias("m"), F.when(t["m"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(t["m"].rlike("^[A-Z2-7]+$"), 32).otherwise(64).alias("k"), F.xxhash64(t["m"]).alias("h")))
 
     def digits(t: Column) -> Column:
         alphabet = F.when(t["k"] == 16, _HEX).when(t["k"] == 32, _B32).otherwise(_B64)
         text = F.when(t["k"] == 16, F.lower(t["m"])).otherwise(F.translate(t["m"], "-_", "+/"))
         x = F.transform(F.split(F.regexp_replace(text, "(.)(?=.)", "$1 "), " "), lambda c: (F.call_function("instr", alphabet, c) - 1).cast("double") / t["k"])
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["k"].alias("k"), x.alias("x"))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["k"].alias("k"), t["h"].alias("h"), x.alias("x"))
 
     zero = F.struct(F.lit(None).cast("double").alias("p"), F.lit(-1.0).alias("first"), *[F.lit(0.0).alias(c) for c in ("s1", "s2", "s11", "runs", "high", "c0", "c1", "c2", "c3")])
 
@@ -77,7 +81,7 @@ def _tested(tokens: Column) -> Column:
             (a["runs"] + one(fresh | ((a["p"] >= 0.5) != (v >= 0.5)))).alias("runs"), (a["high"] + one(v >= 0.5)).alias("high"),
             *[(a[f"c{j}"] + one((v >= j / 4) & (v < (j + 1) / 4))).alias(f"c{j}") for j in range(4)])
 
-    sums = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["k"].alias("k"), F.size(t["x"]).cast("double").alias("n"), F.aggregate(t["x"], zero, step).alias("a"))
+    sums = lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["k"].alias("k"), t["h"].alias("h"), F.size(t["x"]).cast("double").alias("n"), F.aggregate(t["x"], zero, step).alias("a"))
 
     def derived(t: Column) -> Column:
         n, a = t["n"], t["a"]
@@ -86,7 +90,7 @@ def _tested(tokens: Column) -> Column:
         square = a["s2"] - n * mean * mean
         cross = a["s11"] - mean * (a["s1"] * 2 - a["first"] - a["p"]) + (n - 1) * mean * mean
         mu = a["high"] * (n - a["high"]) * 2 / n + 1
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["k"].alias("k"), n.alias("n"), chi.alias("chi"), square.alias("square"), cross.alias("cross"), mu.alias("mu"), a["runs"].alias("runs"), a["high"].alias("high"))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), t["k"].alias("k"), t["h"].alias("h"), n.alias("n"), chi.alias("chi"), square.alias("square"), cross.alias("cross"), mu.alias("mu"), a["runs"].alias("runs"), a["high"].alias("high"))
 
     def judged(t: Column) -> Column:
         n, mu = t["n"], t["mu"]
@@ -96,7 +100,7 @@ def _tested(tokens: Column) -> Column:
         p_serial = F.when(t["square"] <= 1e-12, 0.0).otherwise(_erfc(F.abs(t["cross"] / t["square"] * F.sqrt(n) + 1 / F.sqrt(n)) / math.sqrt(2)))
         p = F.least(F.lit(1.0), F.least(p_chi, p_runs, p_serial) * 3)
         stratum = t["k"] * 100 + F.least(F.lit(99), F.floor(F.log2(n) * 2)).cast("int")
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), F.struct(stratum.cast("int").alias("stratum"), p.alias("p")).alias("r"))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), F.struct(stratum.cast("int").alias("stratum"), p.alias("p"), t["h"].alias("h")).alias("r"))
 
     return F.transform(F.transform(F.transform(F.transform(plain, digits), sums), derived), judged)
 
@@ -119,14 +123,17 @@ def scanned(docs: DataFrame, text_col: str) -> DataFrame:
 
 def thresholds(d: DataFrame, fdr: float) -> DataFrame:
     """One row: a map from stratum to the p-value from which a token counts as random."""
-    t = d.select(F.explode("_x.r").alias("r")).select("r.stratum", F.least(F.lit(BINS - 1), F.floor(F.col("r.p") * BINS)).cast("int").alias("bin"))
-    h = t.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
+    t = d.select(F.explode("_x.r").alias("r")).select("r.stratum", "r.h", F.least(F.lit(BINS - 1), F.floor(F.col("r.p") * BINS)).cast("int").alias("bin"))
+    h = t.where("bin > 0").distinct().groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = h.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sum(F.when(F.col("bin") >= BINS // 2, F.col("n")).otherwise(0)).alias("top"))
     grid = grid.select("stratum", "m", "top", F.explode(F.sequence(F.lit(1), F.lit(BINS - 1))).alias("j"))
     taken = F.aggregate(F.sequence("j", F.lit(BINS - 1)), F.lit(0).cast("long"), lambda a, b: a + F.coalesce(F.col("m")[b], F.lit(0)).cast("long"))
     grid = grid.withColumn("taken", taken)
     others = F.col("taken") - F.col("top") * 2 * (1 - F.col("j") / BINS)
-    ok = grid.where((F.col("taken") > 0) & (others <= F.col("taken") * fdr)).groupBy("stratum").agg((F.min("j") / BINS).alias("least"))
+    half = F.lit(BINS / 2) / (BINS - F.col("j"))  # share of p above 1/2 if all that is taken is random
+    short = F.col("taken") * half - F.col("top") - 0.5
+    plain = (F.col("j") == 1) & (short <= F.sqrt(F.col("taken") * half * (1 - half)) * SLACK)
+    ok = grid.where((F.col("taken") > 0) & ((others <= F.col("taken") * fdr) | plain)).groupBy("stratum").agg((F.min("j") / BINS).alias("least"))
     return ok.agg(F.map_from_entries(F.collect_list(F.struct("stratum", "least"))).alias("_least"))
 
 

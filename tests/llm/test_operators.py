@@ -138,3 +138,35 @@ def test_near_dedup_classes_equal_brute_force(spark):
     got = near_dedup.near_dedup(spark.createDataFrame([(k, t, "g") for k, t in enumerate(texts)], SCHEMA)).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(comp))
     assert 10 < len(set(comp)) < n
+
+
+B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def random_spans(spark, texts):
+    out = secret_scan.secret_scan(spark.createDataFrame([(i, t, "g") for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+    return [[(s["start"], s["end"]) for s in r["secret_spans"] if s["kind"] == 3] for r in out]
+
+
+def p_values(spark, tokens):
+    """The battery's p of each token."""
+    d = secret_scan.scanned(spark.createDataFrame([(i, t, "g") for i, t in enumerate(tokens)], SCHEMA), "text").orderBy("doc_id")
+    return [r["_x"][0]["r"]["p"] for r in d.select("_x").collect()]
+
+
+def test_lone_and_hot_random_tokens(spark):
+    r = random.Random(3)
+    drawn = ["".join(r.choice(B64[:62]) for _ in range(40)) for _ in range(200)]
+    p = dict(zip(drawn, p_values(spark, drawn)))
+    good = {t for t in drawn if p[t] >= 1 / secret_scan.BINS}
+    assert len(good) > 180
+    lone = min(good, key=p.get)
+    assert random_spans(spark, [f"key {lone} end", "plain words " * 9]) == [[(4, 44)], []]
+    pair = sorted(good, key=p.get)[:2]
+    assert random_spans(spark, pair) == [[(0, 40)], [(0, 40)]]
+    hot = min(good, key=lambda t: abs(p[t] - 0.4))
+    found = random_spans(spark, drawn + [hot] * 3000)
+    assert [t for t, s in zip(drawn, found) if s] == [t for t in drawn if t in good]
+    assert all(found[len(drawn) :])
+    words_only = ["thtiblebleonhationon", "scheinkeitieeneinheitch", "configurationmanagement"]
+    assert random_spans(spark, words_only) == [[], [], []]
