@@ -101,6 +101,14 @@ _COS = "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / s
 _VEC = f"v AS (SELECT e.vec_id, 'ctx' || (e.label % 3) AS context_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
 _add("vector_topk", lambda s, d: search.vector_topk(_vectors(s, d), _query_vector(s, d), 20).select("vec_id", "score"), f"WITH {_VEC} SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT 20")
 _add("vector_topk_then_filter", lambda s, d: search.vector_topk(_vectors(s, d), _query_vector(s, d), 60).where("context_id = 'ctx1'").select("vec_id", "score"), f"WITH {_VEC} SELECT vec_id, score FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT 60) WHERE context_id = 'ctx1'")
+
+
+def _context_candidates(s, d):
+    v = _vectors(s, d)
+    return search.vector_topk(v, _query_vector(s, d), search.vector_k(search.n_contexts(v))).where("context_id = 'ctx1'").select("vec_id", "score")
+
+
+_add("vector_context_candidates", _context_candidates, f"WITH {_VEC} SELECT vec_id, score FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT (SELECT 400 * greatest(1, least(8, count(DISTINCT context_id))) FROM v)) WHERE context_id = 'ctx1'")
 _add("embedding_norms", lambda s, d: _vectors(s, d).select("vec_id", F.round(F.sqrt(search.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm")), "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
 _add("vector_contexts", lambda s, d: _vectors(s, d).agg(F.countDistinct("context_id").alias("n")), "SELECT count(DISTINCT label % 3) AS n FROM embeddings")
 TERMS = ("edan", "stupid", "with")

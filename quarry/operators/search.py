@@ -25,6 +25,11 @@ def vector_k(contexts: int) -> int:
     return TOP * min(max(contexts, 1), 8)
 
 
+def n_contexts(vectors: DataFrame) -> int:
+    """Contexts that hold vectors, as far as vector_k tells them apart; 1 without a column context_id."""
+    return vectors.where("context_id IS NOT NULL").select("context_id").distinct().limit(8).count() if "context_id" in vectors.columns else 1
+
+
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
     """(vec_id, ..., score): the k most similar, ties to the smaller id."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -17,13 +17,18 @@ def query_terms(query: str) -> list[str]:
 
 
 def hybrid_search(segments: DataFrame, symbols: DataFrame | None, query: str, limit: int = 5, vectors: DataFrame | None = None, query_vector=None) -> DataFrame:
-    """(segment_id, file_path, line_start, line_end, score), best first; content is joined last."""
+    """(segment_id, file_path, line_start, line_end, score), best first; content is joined last.
+
+    `vectors` (vec_id = segment_id, embedding, context_id) may hold other contexts than `segments`:
+    candidates are taken over all of them, and those of no given segment go before ranks are dealt.
+    """
     terms = query_terms(query)
     if not terms:
         return segments.select("segment_id", "file_path", "line_start", "line_end", F.lit(0.0).alias("score"), "content").limit(0)
     lists = [S.ranked(S.bm25_topk(segments, terms), "fts")]
     if vectors is not None and query_vector is not None:
-        lists.insert(0, S.ranked(S.vector_topk(vectors, query_vector, S.TOP).select(F.col("vec_id").alias("segment_id"), "score"), "vector"))
+        near = S.vector_topk(vectors, query_vector, S.vector_k(S.n_contexts(vectors))).select(F.col("vec_id").alias("segment_id"), "score")
+        lists.insert(0, S.ranked(near.join(segments.select("segment_id"), "segment_id", "left_semi"), "vector"))
     if symbols is not None:
         hit = symbols.where(F.col("canonical_symbol").isin(*terms) & (F.col("reference_kind") == "definition")).groupBy("segment_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
         lists.append(S.ranked(hit.orderBy(F.desc("score"), "segment_id").limit(S.TOP), "symbol"))
