@@ -16,7 +16,7 @@ from quarry.llm.mixing import mix_sources
 from quarry.llm.near_dedup import near_dedup
 from quarry.llm.queries import severity_grades
 from quarry.llm.secret_scan import redacted, secret_scan
-from quarry.llm.shared import shared_folder
+from quarry.llm.shared import checkpointed, shared_folder
 from quarry.llm.toxicity import fit_toxicity, without_toxic
 
 
@@ -27,10 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class stays; rows that repeat its id and rows without an id stay too."""
-    keep = near_dedup(docs).where("doc_id = class_id").select("doc_id")
-    kept = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each class stays: that of least id, or one without an id where no row has any.
+
+    Rows are compared one by one, whether ids repeat or are null. Texts without a word are classes of
+    their own, but rows that repeat both such a text and its id are one class.
+    """
+    # Written once, since row numbers must be the same wherever they are read.
+    rows = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    same = F.when(F.col("doc_id").isNotNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\t-\r]"), F.struct("doc_id", F.xxhash64("text")))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"), "_row")
+    classes = near_dedup(rows, "_row").select(F.col("doc_id").alias("_row"), "class_id").join(rows.select("_row", same.alias("same"), order.alias("order")), "_row")
+    own = F.when(F.col("same").isNull(), F.col("class_id")).alias("class")
+    keep = classes.groupBy(own, "same").agg(F.min("order").alias("least")).select("least._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +68,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Weighted sampling and the severity model have no SQL form. No brute-force test covers the stages yet.
+#: Weighted sampling and the severity model have no SQL form. No brute-force test covers the whole run yet.
 ORACLE_SQL = None
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quarry.llm import ann, decontam, licenses, mixing, near_dedup, secret_scan, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, grp string"
@@ -170,3 +171,11 @@ def test_lone_and_hot_random_tokens(spark):
     assert all(found[len(drawn) :])
     words_only = ["thtiblebleonhationon", "scheinkeitieeneinheitch", "configurationmanagement"]
     assert random_spans(spark, words_only) == [[], [], []]
+
+
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    a, b, c = (" ".join(words(120, 70 + k)) for k in range(3))
+    rows = [(1, a, "g"), (2, a + " edit", "g"), (2, b, "g"), (1, a, "g"), (None, a, "g"), (None, c, "g"), (None, c, "g"), (5, None, "g"), (5, None, "g"), (6, None, "g"), (7, "", "g"), (9, b, "g")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    want = [(1, a, "g"), (2, b, "g"), (None, c, "g"), (5, None, "g"), (6, None, "g"), (7, "", "g")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
