@@ -1,7 +1,8 @@
 """Secret scan: credential patterns, and a randomness test battery for tokens without a pattern.
 
 Patterns are matched leftmost and non-overlapping; positions are code points and come from the
-lengths of what the pattern splits the text into. Long tokens are tested for randomness under the
+lengths of what the pattern splits the text into. Long tokens, without what a pattern took of them,
+and their parts between / _ - are tested for randomness under the
 encoding that their characters allow (hex, base32, base64): a chi-squared test of alphabet
 uniformity over four equal ranges, a runs test about the alphabet's middle, and a lag-1 serial
 correlation test, joined by Bonferroni. Ordinary words fail these tests, the more surely the longer
@@ -25,6 +26,7 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+PART = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -35,8 +37,8 @@ BINS = 50
 SLACK = 2.33
 
 
-def _found(text: str, pattern: str, value: str | None = None, least: int = 0) -> Column:
-    """array<struct<start,end,m>> of a pattern's matches in column `text`."""
+def _found(text: str, pattern: str, value: str | None = None, least: int = 0) -> str:
+    """SQL of array<struct<start,end,m>>, a pattern's matches in `text`."""
     lit = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     p = lit(pattern)
     matches = f"regexp_extract_all({text}, {p}, 0)"
@@ -47,7 +49,18 @@ def _found(text: str, pattern: str, value: str | None = None, least: int = 0) ->
         f"aggregate({steps}, struct(0 as pos, {none} as found), "
         f"(a, x) -> struct(a.pos + x.gap + char_length(x.m) as pos, if(x.n >= {least}, concat(a.found, array(struct(a.pos + x.gap as start, a.pos + x.gap + char_length(x.m) as end, x.m as m))), a.found) as found), a -> a.found)"
     )
-    return F.expr(f"if({text} rlike {p}, {fold}, {none})")
+    return f"if({text} rlike {p}, {fold}, {none})"
+
+
+def _pieces(d: DataFrame) -> DataFrame:
+    """`_t` with what spans of patterns leave of its runs, each such piece followed by its parts between / _ -."""
+    none = "cast(array() as array<struct<start:int,end:int,m:string>>)"
+    met = "filter(_base, b -> b.start < t.end and t.start < b.end)"
+    add = lambda end: f"if({end} - a.pos >= 20, concat(a.out, array(struct(a.pos as start, {end} as end, substring(t.m, a.pos - t.start + 1, {end} - a.pos) as m))), a.out)"
+    rest = f"aggregate({met}, struct(t.start as pos, {none} as out), (a, b) -> struct(greatest(a.pos, b.end) as pos, {add('b.start')} as out), a -> {add('t.end')})"
+    d = d.withColumn("_t", F.expr(f"flatten(transform(_t, t -> {rest}))"))
+    parts = f"transform({_found('s.m', PART)}, y -> struct(s.start + y.start as start, s.start + y.end as end, y.m as m))"
+    return d.withColumn("_t", F.expr(f"flatten(transform(_t, s -> concat(array(s), if(s.m rlike '[/_-]', {parts}, {none}))))"))
 
 
 def _erfc(t: Column) -> Column:
@@ -111,12 +124,12 @@ def scanned(docs: DataFrame, text_col: str) -> DataFrame:
     low = F.lower("_text")
     keyed = low.contains("pass") | low.contains("secret") | low.contains("token") | low.contains("api")
     none = F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)")
-    d = d.withColumn("_a", F.when(keyed, _found("_text", ASSIGN, value="2", least=12)).otherwise(none))
-    d = d.withColumn("_k", F.when(F.col("_text").contains("AKIA"), _found("_text", ACCESS)).otherwise(none))
-    d = d.withColumn("_h", _found("_text", HEX)).withColumn("_t", _found("_text", TOKEN))
+    d = d.withColumn("_a", F.when(keyed, F.expr(_found("_text", ASSIGN, value="2", least=12))).otherwise(none))
+    d = d.withColumn("_k", F.when(F.col("_text").contains("AKIA"), F.expr(_found("_text", ACCESS))).otherwise(none))
+    d = d.withColumn("_h", F.expr(_found("_text", HEX))).withColumn("_t", F.expr(_found("_text", TOKEN)))
     tag = lambda c, k: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
     d = d.withColumn("_base", F.array_sort(F.concat(tag("_a", 0), tag("_k", 1), tag("_h", 2))).cast("array<struct<start:int,end:int,kind:int>>"))
-    d = d.withColumn("_t", F.expr("filter(_t, t -> not exists(_base, b -> b.start < t.end and t.start < b.end))"))
+    d = _pieces(d)
     d = d.withColumn("_x", _tested(F.col("_t")))
     return d.drop("_a", "_k", "_h", "_t", "_text")
 
@@ -147,7 +160,8 @@ def secret_scan(docs: DataFrame, text_col: str = "text", fdr: float = 0.1) -> Da
     keep = [c for c in docs.columns if c not in ("secret_base", "secret_spans")]
     d = scanned(docs.select(*keep), text_col)
     d = d.join(F.broadcast(thresholds(d.select("_x"), fdr)))  # one row of bounded width
-    rare = F.expr("transform(filter(_x, t -> t.r.p >= _least[t.r.stratum]), t -> struct(t.start as start, t.end as end, 3 as kind))")
+    # A part lies behind its piece in _x and goes where the whole piece is taken.
+    rare = F.expr(f"aggregate(filter(_x, t -> t.r.p >= _least[t.r.stratum]), struct(-1 as upto, cast(array() as {SPAN}) as out), (a, t) -> if(t.end <= a.upto, a, struct(t.end as upto, concat(a.out, array(struct(t.start as start, t.end as end, 3 as kind))) as out)), a -> a.out)")
     spans = F.array_sort(F.concat(F.col("_base"), rare.cast(SPAN)))
     return d.select(*keep, F.col("_base").alias("secret_base"), spans.alias("secret_spans"))
 
