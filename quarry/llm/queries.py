@@ -115,8 +115,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_grades(labels: DataFrame) -> DataFrame:
-    """Ordered grades of the labels table: 0 clean, 1 toxic."""
-    return labels.select("doc_id", F.col("toxic").cast("int").alias("grade"))
+    """Ordered grades of the labels table: 0 clean and good, 1 of low quality, 2 toxic; null where nothing is said."""
+    grade = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when((F.col("toxic") == 0) | (F.col("quality") == 1), 0)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+#: Grade from which a document counts as toxic, and the probability of it that rejects one.
+TOXIC_GRADE, TOXIC_AT = 2, 0.3
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +129,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, severity_grades(_table(spark, sf_dir, "labels")))
-    return toxicity(docs, model)
+    return toxicity(docs, model, toxic_from=TOXIC_GRADE, threshold=TOXIC_AT)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

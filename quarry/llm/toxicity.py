@@ -2,8 +2,12 @@
 
 P(grade >= j) = sigmoid(score - threshold_j): one weight vector is shared by all ordered thresholds.
 Features are hashed words, present or not. The model is fitted in numpy on a bounded sample of
-labelled documents (`sample` at most, drawn by a hash of the id) with proximal L1 steps, so that
-words that say nothing weigh nothing and long texts gather no noise.
+labelled documents with proximal L1 steps, after words that tell nothing about
+any threshold are left out, so that long texts gather no noise.
+
+The sample is bounded twice: by `sample` documents and by `sample_bytes` of their text. Documents
+are drawn by a hash of the id, the same ones on every run; those that hash to `HELD_OUT` of FOLDS
+never take part, so the model can be judged on them.
 """
 
 from __future__ import annotations
@@ -12,18 +16,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
 
 BITS = 18
+FOLDS, HELD_OUT = 5, 0
 
 
 def _features(column) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of each word, repeats included."""
     rows, hashes = textkit.words(column, textkit.NOT_ALNUM, lower=True)
-    return rows, (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    return rows, (hashes >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -34,6 +39,11 @@ def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40)) < F.lit(int((1 << 40) * n / total))).orderBy(F.xxhash64(key, F.lit(7)), key).limit(2 * n)
 
 
+def held_out(id_col: Column) -> Column:
+    """Whether a document never takes part in a fit."""
+    return F.pmod(F.xxhash64(id_col.cast("long"), F.lit(11)), F.lit(FOLDS)) == HELD_OUT
+
+
 @dataclass
 class OrdinalModel:
     weights: np.ndarray
@@ -44,60 +54,109 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts[None, :], -40, 40)))
 
     def score(self, rows: np.ndarray, features: np.ndarray, n: int) -> np.ndarray:
-        w = self.weights[features]
-        use = np.flatnonzero(w)
+        use = np.flatnonzero(self.weights[features])
         pairs = np.unique(rows[use] * np.int64(1 << BITS) + features[use])
         return np.bincount(pairs >> BITS, self.weights[pairs & ((1 << BITS) - 1)], n) if len(pairs) else np.zeros(n)
 
 
-def fit_ordinal(documents: list[np.ndarray], grades: np.ndarray, l1: float = 5e-5, epochs: int = 150, seed: int = 0) -> OrdinalModel:
-    """Fit by accelerated proximal gradient on the mean log loss; every document is its set of features.
+def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum of each run; empty runs give 0."""
+    out = np.zeros(len(starts))
+    full = np.flatnonzero(sizes)
+    if len(full):
+        out[full] = np.add.reduceat(values, starts[full])
+    return out
+
+
+def _telling(flat: np.ndarray, sizes: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Features in three documents or more whose presence depends on some threshold.
 
-    With K grades there are K - 1 thresholds, kept in order. Features in fewer than three
-    documents are left out. Without any document, or with one grade only, every score is 0.
+    The deviation of the documents above a threshold from its share of all must pass
+    sqrt(2 ln features) standard deviations, which features without a bearing seldom do.
+    """
+    seen = np.bincount(flat, minlength=1 << BITS)
+    names = np.flatnonzero(seen >= 3)
+    bound = np.sqrt(2 * np.log(max(len(names), 2)))
+    keep = np.zeros(len(names), bool)
+    for j in range(hit.shape[1]):
+        above = np.bincount(flat[np.repeat(hit[:, j], sizes)], minlength=1 << BITS)[names]
+        q = np.clip(hit[:, j].mean(), 1e-9, 1 - 1e-9)
+        keep |= np.abs(above - q * seen[names]) >= bound * np.sqrt(seen[names] * q * (1 - q))
+    return names[keep]
+
+
+def fit_ordinal(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, l1: float = 5e-5, epochs: int = 200) -> OrdinalModel:
+    """Fit by accelerated proximal gradient on the mean log loss.
+
+    Documents are sets of features: `flat` holds them one document after another, `sizes` how many
+    each has. With K grades there are K - 1 thresholds, kept in order. Features that tell nothing
+    about any threshold are left out. Without any document, or with one grade only, every score is
+    0 and nothing reaches grade 1.
     """
     weights = np.zeros(1 << BITS)
     top = int(grades.max()) if len(grades) else 0
     if not top:
         return OrdinalModel(weights, np.array([40.0]))
-    flat = np.concatenate(documents) if documents else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    seen = np.bincount(flat, minlength=1 << BITS)
-    use = seen[flat] >= 3
-    flat, doc = flat[use], doc[use]
-    names, flat = np.unique(flat, return_inverse=True)
-    n, m = len(documents), len(names)
-    # Features are scaled to unit variance-like size, so that rare decisive words move as fast as others.
-    scale = 1 / np.sqrt(np.maximum(np.bincount(flat, minlength=m), 1) / n)
+    n = len(sizes)
     hit = grades[:, None] >= np.arange(1, top + 1)[None, :]
+    names = _telling(flat, sizes, hit)
+    m = len(names)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[names] = np.arange(m)
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    flat = place[flat]
+    doc, flat = doc[flat >= 0], flat[flat >= 0]
+    by_doc = np.bincount(doc, minlength=n)
+    doc_starts = np.cumsum(by_doc) - by_doc
+    seen = np.bincount(flat, minlength=m)
+    starts = np.cumsum(seen) - seen
+    doc = doc[np.argsort(flat, kind="stable")]
+    # Features are scaled to unit size, so that rare decisive words move as fast as others.
+    scale = 1 / np.sqrt(np.maximum(seen, 1) / n)
+    forth = lambda x: _sums((x * scale)[flat], doc_starts, by_doc)
+    back = lambda x: _sums(x[doc], starts, seen) * scale
     share = np.clip(hit.mean(0), 1e-4, 1 - 1e-4)
     cuts = -np.log(share / (1 - share))
+    # The step is one over the largest curvature: a quarter of the features' largest eigenvalue for each threshold.
+    u, size = np.ones(m) / np.sqrt(max(m, 1)), 1.0
+    for _ in range(20):
+        u = back(forth(u)) / n
+        size = max(float(np.sqrt(u @ u)), 1.0)
+        u /= size
+    step = 4 / (top * (size + 1))
     w = np.zeros(m)
     v, vc, t = w.copy(), cuts.copy(), 1.0
-    step = 0.5
     for _ in range(epochs):
-        s = np.bincount(doc, (v * scale)[flat], n)
-        p = 1 / (1 + np.exp(-np.clip(s[:, None] - vc[None, :], -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(forth(v)[:, None] - vc[None, :], -40, 40)))
         e = (p - hit) / n
-        g = np.bincount(flat, e.sum(1)[doc], m) * scale
+        g = back(e.sum(1))
         new = v - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1 * scale.clip(max=30), 0)
-        cut = np.sort(vc + step * 4 * e.sum(0))
+        cut = np.sort(vc + step * e.sum(0))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        turned = (v - new) @ (new - w) + (vc - cut) @ (cut - cuts) > 0
         v, vc = new + (t - 1) / t2 * (new - w), cut + (t - 1) / t2 * (cut - cuts)
-        if g @ (new - w) > 0:
+        if turned:
             t2, v, vc = 1.0, new.copy(), cut.copy()
         w, cuts, t = new, cut, t2
     weights[names] = w * scale
     return OrdinalModel(weights, cuts)
 
 
-def fit_toxicity(docs: DataFrame, grades: DataFrame, sample: int = 20_000, **how) -> OrdinalModel:
-    """Fit on at most 2 * `sample` documents with a grade (doc_id, grade 0, 1, ...); null grades are left out."""
+def fit_toxicity(docs: DataFrame, grades: DataFrame, sample: int = 20_000, sample_bytes: int = 64_000_000, **how) -> OrdinalModel:
+    """Fit on documents with a grade (doc_id, grade 0, 1, ...); null grades are left out, of repeated ones the highest counts.
+
+    At most 2 * `sample` documents take part, fewer where their texts would pass `sample_bytes`; a
+    document of more than a hundredth of that takes no part. Held-out documents never do.
+    """
     g = grades.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
-    g = bounded_sample(g, "doc_id", sample)
+    g = bounded_sample(g.where(~held_out(F.col("doc_id"))), "doc_id", sample)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.join(F.broadcast(g), "doc_id")  # 2 * sample rows at most
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    d = d.join(F.broadcast(g), "doc_id").where(size <= sample_bytes // 100)  # 2 * sample rows at most
+    total = d.agg(F.sum(size)).first()[0] or 0
+    if total > sample_bytes:
+        d = d.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample_bytes / total)))
 
     def pack(batches):
         for batch in batches:
@@ -107,50 +166,68 @@ def fit_toxicity(docs: DataFrame, grades: DataFrame, sample: int = 20_000, **how
             own = (pairs & ((1 << BITS) - 1)).astype(np.int32)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([own[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())], names=["doc_id", "grade", "f"])
 
-    got = d.select("doc_id", "text", "grade").mapInArrow(pack, "doc_id long, grade int, f binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["f"]))
-    return fit_ordinal([np.frombuffer(r["f"], np.int32).astype(np.int64) for r in got], np.array([r["grade"] for r in got], np.int64), **how)
+    got = d.select("doc_id", "text", "grade").mapInArrow(pack, "doc_id long, grade int, f binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
+    f = got["f"].cast(pa.large_binary()).combine_chunks() if got.num_rows else pa.array([], pa.large_binary())
+    f = pa.concat_arrays(f.chunks) if isinstance(f, pa.ChunkedArray) else f
+    if not len(f):
+        return fit_ordinal(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), **how)
+    offsets = np.frombuffer(f.buffers()[1], np.int64)[f.offset : f.offset + len(f) + 1]
+    flat = np.frombuffer(f.buffers()[2], np.int32)[offsets[0] // 4 : offsets[-1] // 4] if f.buffers()[2] else np.zeros(0, np.int32)
+    return fit_ordinal(flat, np.diff(offsets) // 4, got["grade"].to_numpy().astype(np.int64), **how)
 
 
 RESULT = "doc_id long, score double, severity double, p_toxic double, grade int, toxic boolean"
 
 
+class _Shipped:
+    """A model as its nonzero weights: what travels with a task."""
+
+    def __init__(self, model: OrdinalModel):
+        self.names = np.flatnonzero(model.weights)
+        self.values, self.cuts = model.weights[self.names], model.cuts
+
+    def model(self) -> OrdinalModel:
+        weights = np.zeros(1 << BITS)
+        weights[self.names] = self.values
+        return OrdinalModel(weights, self.cuts)
+
+    def p_toxic(self, p: np.ndarray, toxic_from: int) -> np.ndarray:
+        """P(grade >= toxic_from), 0 beyond the highest grade that was learned."""
+        return p[:, toxic_from - 1] if toxic_from <= p.shape[1] else np.zeros(len(p))
+
+
 def toxicity(docs: DataFrame, model: OrdinalModel, toxic_from: int = 1, threshold: float = 0.5) -> DataFrame:
     """Grade every whole text: doc_id, score, severity (expected grade), p_toxic, grade, toxic.
 
     p_toxic is P(grade >= toxic_from), and toxic says whether it reaches `threshold`. A null or
-    empty text has score 0, so the thresholds alone speak. Repeated rows and null ids are returned
-    each; other columns are ignored; an empty table gives no rows. The model is shipped with the
-    task: its nonzero weights number a few thousand.
+    empty text has score 0, so the thresholds alone speak, but it is never toxic. Repeated rows and
+    null ids are returned each; other columns are ignored; an empty table gives no rows. The model
+    is shipped with the task as its nonzero weights, at most 2**18 and in practice a few thousand.
     """
-    names = np.flatnonzero(model.weights)
-    values, cuts = model.weights[names], model.cuts
+    shipped = _Shipped(model)
 
     def predict(batches):
-        weights = np.zeros(1 << BITS)
-        weights[names] = values
-        m = OrdinalModel(weights, cuts)
+        m = shipped.model()
         for batch in batches:
             rows, f = _features(batch.column(1))
-            s = m.score(rows, f, batch.num_rows)
-            p = m.at_least(s)
-            q = p[:, min(toxic_from, p.shape[1]) - 1]
-            yield pa.record_batch([batch.column(0), s, p.sum(1), q, (p >= 0.5).sum(1).astype(np.int32), q >= threshold], names=["doc_id", "score", "severity", "p_toxic", "grade", "toxic"])
+            p = m.at_least(s := m.score(rows, f, batch.num_rows))
+            q = shipped.p_toxic(p, toxic_from)
+            said = np.bincount(rows, minlength=batch.num_rows) > 0
+            yield pa.record_batch([batch.column(0), s, p.sum(1), q, (p >= 0.5).sum(1).astype(np.int32), (q >= threshold) & said], names=["doc_id", "score", "severity", "p_toxic", "grade", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predict, RESULT)
 
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, toxic_from: int = 1, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs`, with all columns, whose text the model doesn't reject; no shuffle."""
-    names = np.flatnonzero(model.weights)
-    values, cuts, at = model.weights[names], model.cuts, docs.columns.index("text")
+    """The rows of `docs`, with all columns, that `toxicity` doesn't call toxic; no shuffle. Null and empty texts stay."""
+    shipped, at = _Shipped(model), docs.columns.index("text")
 
     def select(batches):
-        weights = np.zeros(1 << BITS)
-        weights[names] = values
-        m = OrdinalModel(weights, cuts)
+        m = shipped.model()
         for batch in batches:
-            p = m.at_least(m.score(*_features(batch.column(at)), batch.num_rows))
-            yield batch.filter(pa.array(p[:, min(toxic_from, p.shape[1]) - 1] < threshold))
+            rows, f = _features(batch.column(at))
+            q = shipped.p_toxic(m.at_least(m.score(rows, f, batch.num_rows)), toxic_from)
+            said = np.bincount(rows, minlength=batch.num_rows) > 0
+            yield batch.filter(pa.array((q < threshold) | ~said))
 
     return docs.mapInArrow(select, docs.schema)

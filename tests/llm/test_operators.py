@@ -81,7 +81,7 @@ def test_ordinal_regression_orders_grades():
         g = k % 3
         docs.append(np.unique(np.concatenate((rng.integers(100, 400, 20), np.arange(g * 2)))))
         grades.append(g)
-    m = toxicity.fit_ordinal(docs, np.array(grades))
+    m = toxicity.fit_ordinal(np.concatenate(docs).astype(np.int32), np.array([len(d) for d in docs]), np.array(grades))
     assert list(m.cuts) == sorted(m.cuts) and len(m.cuts) == 2
     score = np.array([m.weights[d].sum() for d in docs])
     assert (((m.at_least(score) >= 0.5).sum(1) == grades).mean()) > 0.95
