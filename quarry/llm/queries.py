@@ -38,7 +38,7 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: a page is bad where the label of the same number is toxic or of quality 0."""
+    """Outcomes: a page is bad where the label of the same number is toxic or of quality 0 (a stand-in: no table labels pages)."""
     from .url_filter import url_filter
 
     labels = _table(spark, sf_dir, "labels")
@@ -87,13 +87,23 @@ h AS (SELECT host, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, CAST(count(bad)
 hd AS (SELECT * FROM h JOIN nn USING (host)),
 sx AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM hd GROUP BY suffix),
 m0 AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.0) AS m0 FROM sx),
-m1 AS (SELECT suffix, (bad + m0 * 8) / (n + 8) AS m1 FROM sx, m0),
-m2 AS (SELECT domain, (bad + m1 * 8) / (n + 8) AS m2 FROM (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hd GROUP BY domain, suffix) JOIN m1 USING (suffix)),
-ab AS (SELECT host, bad + m2 * 8 AS a, n - bad + (1 - m2) * 8 AS b FROM hd JOIN m2 USING (domain)),
-r AS (SELECT host, a / (a + b) AS bad_mean, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bad_lower FROM ab),
+k1 AS (SELECT coalesce(1 / least(greatest((sum((bad - n * m0) ** 2) - sum(n * m0 * (1 - m0))) / nullif(sum(n * (n - 1) * m0 * (1 - m0)), 0), 1 / 1001.0::DOUBLE), 1 / 1.5::DOUBLE) - 1, 8.0) AS k FROM sx, m0),
+m1 AS (SELECT suffix, (bad + m0 * k) / (n + k) AS m1 FROM sx, m0, k1),
+dx AS (SELECT domain, bad, n, m1 FROM (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hd GROUP BY domain, suffix) JOIN m1 USING (suffix)),
+k2 AS (SELECT coalesce(1 / least(greatest((sum((bad - n * m1) ** 2) - sum(n * m1 * (1 - m1))) / nullif(sum(n * (n - 1) * m1 * (1 - m1)), 0), 1 / 1001.0::DOUBLE), 1 / 1.5::DOUBLE) - 1, 8.0) AS k FROM dx),
+m2 AS (SELECT domain, (bad + m1 * k) / (n + k) AS m2 FROM dx, k2),
+hx AS (SELECT host, bad, n, m2 FROM hd JOIN m2 USING (domain)),
+k3 AS (SELECT coalesce(1 / least(greatest((sum((bad - n * m2) ** 2) - sum(n * m2 * (1 - m2))) / nullif(sum(n * (n - 1) * m2 * (1 - m2)), 0), 1 / 1001.0::DOUBLE), 1 / 1.5::DOUBLE) - 1, 8.0) AS k FROM hx),
+ab AS (SELECT host, bad + m2 * k AS a, n - bad + (1 - m2) * k AS b FROM hx, k3),
+fr AS (SELECT *, greatest(asin(sqrt(a / (a + b))) - 4 / sqrt(a + b + 1), 0.0) AS lo, least(asin(sqrt(a / (a + b))) + 4 / sqrt(a + b + 1), pi() / 2) AS hi FROM ab),
+pt AS (SELECT host, a, b, lo, hi, unnest(range(128)) AS i FROM fr WHERE a > 0 AND b > 0),
+ld AS (SELECT host, a, b, i, lo, (hi - lo) / 128 AS step, (2 * a - 1) * ln(sin(lo + (hi - lo) / 128 * (i + 0.5))) + (2 * b - 1) * ln(cos(lo + (hi - lo) / 128 * (i + 0.5))) - ((2 * a - 1) * ln(sin(lo + (hi - lo) / 128 * 64.5)) + (2 * b - 1) * ln(cos(lo + (hi - lo) / 128 * 64.5))) AS g FROM pt),
+cu AS (SELECT host, lo, step, exp(g) AS g, sum(exp(g)) OVER (PARTITION BY host ORDER BY i) - exp(g) AS below, 0.05 * sum(exp(g)) OVER (PARTITION BY host) AS goal FROM ld),
+qu AS (SELECT host, sin(any_value(lo) + any_value(step) * sum(greatest(0.0, least(1.0, (goal - below) / g)))) ** 2 AS q FROM cu GROUP BY host),
+r AS (SELECT ab.host, a / (a + b) AS bad_mean, CASE WHEN a <= 0 THEN 0.0 WHEN b <= 0 THEN 1.0 ELSE q END AS bad_lower FROM ab LEFT JOIN qu ON ab.host = qu.host),
 rules(action, rh, rp) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 hit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(action, length(rh || rp)) AS action FROM u, rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-SELECT u.page_id, u.host, u.path, rule, coalesce(action, CASE WHEN bad_lower > 0.2 THEN 'block' ELSE 'allow' END) AS verdict, round(bad_mean, 9) AS bad_mean, round(bad_lower, 9) AS bad_lower
+SELECT u.page_id, u.host, u.path, rule, coalesce(action, CASE WHEN bad_lower > 0.2 THEN 'block' ELSE 'allow' END) AS verdict, round(bad_mean, 9) AS bad_mean, round(bad_lower, 7) AS bad_lower
 FROM u JOIN r ON u.host = r.host LEFT JOIN hit ON u.page_id = hit.page_id
 """
 

@@ -2,20 +2,31 @@
 
 Labelled page outcomes are counted per host. Counts shrink through three beta-binomial levels: the
 suffix takes its prior from all labelled pages, the registered domain from its suffix, the host from
-its domain; a level's prior has its parent's posterior mean and a strength of `strength` pages. A
-host is blocked when the lower bound of its posterior for bad pages, mean - z * sd, passes
-`block_above`. Everything is DataFrame expressions. Hosts that hold more than 1 / HEAVY of all pages
-number at most HEAVY, so their verdicts are broadcast; all other hosts join by shuffle.
+its domain. A level's prior has its parent's posterior mean; its strength, in pages, is estimated
+from the data by the method of moments: how far the level's counts stray from their parents' means
+beyond binomial chance tells how alike the members of one parent are. A host is blocked when the
+lower quantile of its beta posterior for bad pages passes `block_above`. Everything is DataFrame
+expressions.
+
+Keys that hold more than 1 / HEAVY of all rows number at most HEAVY: what is known of them is
+broadcast. All other keys join by shuffle. The tables of hosts, domains and suffixes are written
+once each, since every level is read for its strength, its heavy keys and the level below.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 HEAVY = 1000
+#: Bounds of a level's estimated strength, and its value where the data say nothing.
+STRENGTH, DEFAULT_STRENGTH = (0.5, 1000.0), 8.0
+QUANTILE_STEPS = 128
 #: Two-label public suffixes that are registered under, besides the last label itself.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "com.br", "com.cn", "co.in", "co.za", "com.mx")
 
@@ -56,51 +67,111 @@ def rule_match(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return out
 
 
-def _posterior(bad: Column, n: Column, mean: Column, strength: float) -> Column:
+def _posterior(bad: Column, n: Column, mean: Column, strength: Column) -> Column:
     return (bad + mean * strength) / (n + strength)
 
 
-def host_reputation(hosts: DataFrame, strength: float = 8.0, z: float = 1.645) -> DataFrame:
-    """(host, mean, lower) from (host, bad, n): posterior mean and lower bound of the bad share.
+def _strength(counts: DataFrame, bad: str, n: str, mean: str, name: str) -> DataFrame:
+    """One row: the strength of a level's prior by the method of moments, between the bounds of STRENGTH.
 
-    Counts roll up to domain and suffix by partial sums; those tables join back by their own key.
-    The bound takes the posterior's exact beta variance. No labelled page at all: prior mean 0.
+    With rho = 1 / (strength + 1), (bad - n mean)^2 has the expectation
+    n mean (1 - mean) (1 + (n - 1) rho). Where no member has two pages, nothing tells them apart and
+    the strength is DEFAULT_STRENGTH.
     """
-    h = hosts.select("host", registered_domain(F.col("host")).alias("domain"), public_suffix(F.col("host")).alias("suffix"), "bad", "n")
-    domains = h.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("s_bad"), F.sum("n").alias("s_n"))
-    total = suffixes.agg(F.coalesce(F.sum("s_bad") / F.nullif(F.sum("s_n"), F.lit(0)), F.lit(0.0)).alias("m0"))
-    suffixes = suffixes.join(F.broadcast(total)).select("suffix", _posterior(F.col("s_bad"), F.col("s_n"), F.col("m0"), strength).alias("m1"))
-    domains = domains.join(suffixes, "suffix").select("domain", _posterior(F.col("bad"), F.col("n"), F.col("m1"), strength).alias("m2"))
-    a = F.col("bad") + F.col("m2") * strength
-    b = F.col("n") - F.col("bad") + (1 - F.col("m2")) * strength
-    mean = a / (a + b)
-    sd = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return h.join(domains, "domain").select("host", mean.alias("bad_mean"), (mean - z * sd).alias("bad_lower"))
+    x, k, m = F.col(bad), F.col(n), F.col(mean)
+    chance = F.sum(k * m * (1 - m))
+    excess = F.sum((x - k * m) * (x - k * m)) - chance
+    rho = excess / F.nullif(F.sum(k * (k - 1) * m * (1 - m)), F.lit(0.0))
+    low, high = STRENGTH
+    bounded = F.least(F.greatest(rho, F.lit(1 / (high + 1))), F.lit(1 / (low + 1)))
+    return counts.agg(F.coalesce(1 / bounded - 1, F.lit(DEFAULT_STRENGTH)).alias(name))
+
+
+def beta_quantile(a: Column, b: Column, p: float) -> Column:
+    """The p-quantile of Beta(a, b), by the midpoint rule on QUANTILE_STEPS angles.
+
+    With x = sin(t)^2 the density of t is sin(t)^(2a-1) cos(t)^(2b-1), smooth and nearly normal with
+    standard deviation 1 / (2 sqrt(a + b + 1)); the angles cover eight of these on both sides of the
+    mean. 0 for a = 0, else 1 for b = 0.
+    """
+    half = math.pi / 2
+    centre = F.asin(F.sqrt(a / (a + b)))
+    reach = 4 / F.sqrt(a + b + 1)
+    frame = F.struct(F.greatest(centre - reach, F.lit(0.0)).alias("from"), F.least(centre + reach, F.lit(half)).alias("to"), a.alias("a"), b.alias("b"), centre.alias("centre"))
+    log_density = lambda f, t: (f["a"] * 2 - 1) * F.ln(F.sin(t)) + (f["b"] * 2 - 1) * F.ln(F.cos(t))
+
+    def weighed(f: Column) -> Column:
+        step = (f["to"] - f["from"]) / QUANTILE_STEPS
+        top = log_density(f, f["from"] + step * (QUANTILE_STEPS // 2 + 0.5))
+        g = F.transform(F.sequence(F.lit(0), F.lit(QUANTILE_STEPS - 1)), lambda i: F.exp(log_density(f, f["from"] + step * (i + 0.5)) - top))
+        return F.struct(f["from"].alias("from"), step.alias("step"), g.alias("g"))
+
+    def found(w: Column) -> Column:
+        goal = F.aggregate(w["g"], F.lit(0.0), lambda s, x: s + x) * p
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("at"))
+        # Whole steps below the goal, and the part of the step in which it is reached.
+        walk = F.aggregate(w["g"], start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["at"] + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (goal - s["sum"]) / x))).alias("at")))
+        angle = F.sin(w["from"] + walk["at"] * w["step"])
+        return angle * angle
+
+    one = lambda c, f: F.transform(F.array(c), f)  # noqa: E731  each step is evaluated once
+    return F.when(a <= 0, 0.0).when(b <= 0, 1.0).otherwise(F.element_at(one(F.element_at(one(frame, weighed), 1), found), 1))
+
+
+def _lookup(rows: DataFrame, key: str, table: DataFrame, size: str) -> DataFrame:
+    """`rows` with the columns of `table` (one row a key, `size` its rows in `rows`) by an inner join.
+
+    Heavy keys' entries are broadcast; rows of heavy keys don't take part in the shuffle's key.
+    """
+    total = table.agg(F.sum(size).alias("_all"))
+    t = table.join(F.broadcast(total)).withColumn("_heavy", F.col(size) * HEAVY > F.col("_all")).drop("_all", size)
+    values = [c for c in table.columns if c not in (key, size)]
+    heavy = t.where("_heavy").select(key, F.struct(*values).alias("_big"))
+    light = t.where("NOT _heavy").select(F.col(key).alias("_key"), F.struct(*values).alias("_small"))
+    r = rows.join(F.broadcast(heavy), key, "left").withColumn("_key", F.when(F.col("_big").isNull(), F.col(key)))
+    small = r.where("_key IS NOT NULL").join(light, "_key")
+    out = small.unionByName(r.where("_key IS NULL").withColumn("_small", F.lit(None).cast(light.schema["_small"].dataType)))
+    return out.withColumns({v: F.coalesce(F.col(f"_big.{v}"), F.col(f"_small.{v}")) for v in values}).drop("_key", "_big", "_small")
+
 
+def host_reputation(hosts: DataFrame, p: float = 0.05) -> DataFrame:
+    """(host, pages, bad_mean, bad_lower) from (host, bad, n, pages): posterior mean and p-quantile of the bad share.
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url", strength: float = 8.0, z: float = 1.645, block_above: float = 0.2) -> DataFrame:
+    Counts roll up to domain and suffix by partial sums. No labelled page at all: prior mean 0.
+    """
+    h = hosts.select("host", registered_domain(F.col("host")).alias("domain"), public_suffix(F.col("host")).alias("suffix"), "bad", "n", "pages")
+    domains = checkpointed(h.groupBy("domain", "suffix").agg(F.sum("bad").alias("d_bad"), F.sum("n").alias("d_n"), F.count(F.lit(1)).alias("d_hosts")))
+    suffixes = domains.groupBy("suffix").agg(F.sum("d_bad").alias("s_bad"), F.sum("d_n").alias("s_n"), F.count(F.lit(1)).alias("s_domains"))
+    total = suffixes.agg(F.coalesce(F.sum("s_bad") / F.nullif(F.sum("s_n"), F.lit(0)), F.lit(0.0)).alias("m0"))
+    suffixes = checkpointed(suffixes.join(F.broadcast(total)))
+    suffixes = suffixes.join(F.broadcast(_strength(suffixes, "s_bad", "s_n", "m0", "k")))
+    suffixes = checkpointed(suffixes.select("suffix", "s_domains", _posterior(F.col("s_bad"), F.col("s_n"), F.col("m0"), F.col("k")).alias("m1")))
+    domains = checkpointed(_lookup(domains, "suffix", suffixes, "s_domains"))
+    domains = domains.join(F.broadcast(_strength(domains, "d_bad", "d_n", "m1", "k")))
+    domains = checkpointed(domains.select("domain", "d_hosts", _posterior(F.col("d_bad"), F.col("d_n"), F.col("m1"), F.col("k")).alias("m2")))
+    h = checkpointed(_lookup(h.select("host", "domain", "bad", "n", "pages"), "domain", domains, "d_hosts"))
+    h = h.join(F.broadcast(_strength(h, "bad", "n", "m2", "k")))
+    h = h.select("host", "pages", (F.col("bad") + F.col("m2") * F.col("k")).alias("a"), (F.col("n") - F.col("bad") + (1 - F.col("m2")) * F.col("k")).alias("b"))
+    return h.select("host", "pages", (F.col("a") / (F.col("a") + F.col("b"))).alias("bad_mean"), beta_quantile(F.col("a"), F.col("b"), p).alias("bad_lower"))
+
+
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), id_col: str = "page_id", url_col: str = "url", p: float = 0.05, block_above: float = 0.2) -> DataFrame:
     """Judge each URL: page_id, host, path, rule, verdict, bad_mean, bad_lower.
 
     `outcomes` has (page_id, bad 0/1); null ids or outcomes are left out, and of repeated ids the
-    worst counts. A rule's action comes first; else the host's posterior bound decides. A null URL
-    or one without :// has empty host and path; such pages share the reputation of the empty host.
-    Repeated page rows are judged each. Other columns are ignored; an empty table gives no rows.
+    worst counts. A rule's action comes first, that of the longest rule that fits (of equally long
+    ones the greatest by code point); else the host's posterior quantile decides. A null URL or one
+    without :// has empty host and path; such pages share the reputation of the empty host. Repeated
+    page rows are judged each, and count each; pages with a null id have no outcome. Other columns
+    are ignored; an empty table gives no rows.
     """
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    p = p.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    d = d.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     seen = outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("bad").alias("bad"))
-    hosts = p.join(seen, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count("bad").cast("double").alias("n"), F.count(F.lit(1)).alias("pages"))
-    judged = hosts.join(host_reputation(hosts.select("host", "bad", "n"), strength, z), "host").select("host", "pages", "bad_mean", "bad_lower")
-    total = hosts.agg(F.sum("pages").alias("all_pages"))
-    judged = judged.join(F.broadcast(total)).withColumn("heavy", F.col("pages") * HEAVY > F.col("all_pages"))
-    heavy = judged.where("heavy").select("host", F.col("bad_mean").alias("h_mean"), F.col("bad_lower").alias("h_lower"))
-    p = p.join(F.broadcast(heavy), "host", "left")
-    # Pages of heavy hosts have their verdict: their key matches nothing and is spread over tasks.
-    key = F.when(F.col("h_mean").isNull(), F.col("host")).otherwise(F.concat(F.lit("/"), F.xxhash64("page_id").cast("string")))
-    light = judged.where("NOT heavy").select(F.col("host").alias("key"), "bad_mean", "bad_lower")
-    p = p.withColumn("key", key).join(light, "key", "left")
-    mean, lower = F.coalesce("h_mean", "bad_mean"), F.coalesce("h_lower", "bad_lower")
+    told = d.where("page_id IS NOT NULL").join(seen, "page_id", "left").select("host", "bad")
+    told = told.unionByName(d.where("page_id IS NULL").select("host", F.lit(None).cast(seen.schema["bad"].dataType).alias("bad")))
+    hosts = checkpointed(told.groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count("bad").cast("double").alias("n"), F.count(F.lit(1)).alias("pages")))
+    judged = _lookup(d, "host", checkpointed(host_reputation(hosts, p)), "pages")
     hit = rule_match(F.col("host"), F.col("path"), rules)
-    verdict = F.coalesce(hit["action"], F.when(lower > block_above, "block").otherwise("allow"))
-    return p.select("page_id", "host", "path", hit["rule"].alias("rule"), verdict.alias("verdict"), F.round(mean, 9).alias("bad_mean"), F.round(lower, 9).alias("bad_lower"))
+    verdict = F.coalesce(hit["action"], F.when(F.col("bad_lower") > block_above, "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", hit["rule"].alias("rule"), verdict.alias("verdict"), F.round("bad_mean", 9).alias("bad_mean"), F.round("bad_lower", 7).alias("bad_lower"))
