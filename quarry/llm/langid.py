@@ -122,13 +122,22 @@ def fit_language(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], d
     return LanguageModel(names, (emb @ layer).astype(np.float32), bias.astype(np.float32), temperature, reject)
 
 
-def fit_langid(docs: DataFrame, sample: int = 2_000, **how) -> LanguageModel:
-    """Fit on about `sample` rows (2 * `sample` at most) of (doc_id, text, lang); null langs are left out.
+def fit_langid(docs: DataFrame, sample: int = 2_000, sample_bytes: int = 16_000_000, **how) -> LanguageModel:
+    """Fit on about `sample` documents (2 * `sample` at most) of (doc_id, text, lang); null texts and langs are left out.
 
-    What reaches the driver per row is bounded too: at most 2**16 distinct buckets with counts.
+    Ids are drawn by their hash; of rows that repeat an id the text of least hash speaks, and rows
+    with a null id are one document. Fewer take part where their texts would pass `sample_bytes`,
+    and none of more than a hundredth of that, so what reaches the driver is bounded in bytes too.
     """
-    d = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    d = bounded_sample(d, "doc_id", sample)
+    size = F.octet_length("text").cast("long")
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    d = d.where("lang IS NOT NULL AND text IS NOT NULL").where(size <= sample_bytes // 100)
+    ids = bounded_sample(d.select("doc_id").distinct(), "doc_id", sample)
+    d = d.join(F.broadcast(ids), "doc_id", "left_semi")  # 2 * sample ids at most
+    d = d.groupBy("doc_id").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), "lang")).alias("x")).select("doc_id", "x.text", "x.lang")
+    total = d.agg(F.sum(size)).first()[0] or 0
+    if total > sample_bytes:
+        d = d.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample_bytes / total)))
 
     def pack(batches):
         for batch in batches:
@@ -151,12 +160,15 @@ def langid(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     A null text, or one without a letter, is `und` with score 0, and so is every text when nothing
     could be learned. `rejected` marks predictions below the calibrated confidence; they keep their
-    label. Repeated rows and null ids are returned each; other columns are ignored.
+    label. Repeated rows and null ids are returned each; other columns are ignored; an empty table
+    gives no rows. The model, 4 * 2**16 bytes a language, is broadcast.
     """
     labels = np.array([*model.labels, "und"], object)
-    table, bias, t, reject, n_labels = model.logits, model.bias, model.temperature, model.reject_below, len(model.labels)
+    bias, t, reject, n_labels = model.bias, model.temperature, model.reject_below, len(model.labels)
+    logits = docs.sparkSession.sparkContext.broadcast(model.logits)
 
     def predict(batches):
+        table = logits.value
         for batch in batches:
             body, offsets = textkit.buffers(batch.column(1))
             n = batch.num_rows
