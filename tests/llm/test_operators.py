@@ -151,8 +151,8 @@ def random_spans(spark, texts):
 
 def p_values(spark, tokens):
     """The battery's p of each token."""
-    d = secret_scan.scanned(spark.createDataFrame([(i, t, "g") for i, t in enumerate(tokens)], SCHEMA), "text").orderBy("doc_id")
-    return [r["_x"][0]["r"]["p"] for r in d.select("_x").collect()]
+    d = secret_scan.scanned(spark.createDataFrame([(i, t, "g") for i, t in enumerate(tokens)], SCHEMA), "text").orderBy("row.doc_id")
+    return [r["tokens"][0]["r"]["p"] for r in d.select("tokens").collect()]
 
 
 def test_lone_and_hot_random_tokens(spark):
