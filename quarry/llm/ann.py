@@ -3,26 +3,38 @@
 A vector's code is the sign pattern of its direction after a random rotation into `bits` dimensions,
 packed, with two scalars: its norm and the inner product f of the direction and its own code. For a
 query direction q, <code, q> / f estimates the inner product without bias, and the error is below
-eps * sqrt((1 - f^2) / (f^2 (bits - 1))) but for a tiny probability. A candidate is reranked on
-its original vector unless its distance is above the k-th smallest upper bound even at its lower bound.
-
-Queries and candidates meet in a grid of bounded blocks: the queries are a stated set, every
-candidate is estimated, and each cell keeps k rows a query.
+eps * sqrt((1 - f^2) / (f^2 (bits - 1))) but for a tiny probability. The query is taken in four bit
+planes, so <code, q> is four counts of common bits of packed words; its rounding is part of the
+bound. A candidate is reranked on its original vector unless its distance is above the k-th smallest
+upper bound even at its lower bound.
+
+The index holds codes and scalars only: bits / 8 + 16 bytes a vector. It is written once and read
+once for each block of queries, which is broadcast (its size is bounded); no candidate and no query
+is replicated or shuffled for the estimates. Pairs that a task's own bounds leave are cut once more
+by the bounds of all tasks, and only what then remains is joined to original vectors.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 65_536, 4_096
-RESULT = "query_id long, vec_id long, score double"
-_RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-_CODED = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("code", pa.binary()), ("norm", pa.float64()), ("f", pa.float64())])
+from .shared import checkpointed
+
+#: Bytes of broadcast queries (bit planes, scalars and running bounds) in a block.
+BLOCK_BYTES = 8_000_000
+#: Pairs that a task holds before it hands them on.
+HELD = 1 << 22
+PLANES = 4
+RESULT = "query_id long, rank int, vec_id long, score double"
+FOUND = "q long, id long, low float, high float"
+_FOUND = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("low", pa.float32()), ("high", pa.float32())])
+_CODED = pa.schema([("id", pa.int64()), ("code", pa.binary()), ("norm", pa.float32()), ("f", pa.float32())])
 
 
 def usable(v: Column) -> Column:
@@ -42,87 +54,153 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 def encode(vectors: DataFrame, dim: int, bits: int, seed: int) -> DataFrame:
-    """The index: (id, v, code, norm, f) for (id, v)."""
+    """The index: (id, code, norm, f) for (id, v)."""
 
     def codes(batches):
         turn = rotation(dim, bits, seed)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = _matrix(batch.column(1), dim)
-            norm = np.sqrt((x * x).sum(1))
+            # The largest component is taken out first, so that squares neither vanish nor overflow.
+            most = np.abs(x).max(1)
+            norm = np.sqrt(((x / most[:, None]) ** 2).sum(1)) * most
             y = x / norm[:, None] @ turn
             f = np.abs(y).sum(1) / math.sqrt(bits)
-            packed = np.packbits(y > 0, axis=1)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([p.tobytes() for p in packed], pa.binary()), norm, f], schema=_CODED)
-
-    return vectors.mapInArrow(codes, "id long, v array<double>, code binary, norm double, f double")
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 512, eps: float = 3.5, seed: int = 17) -> DataFrame:
+            yield pa.record_batch([batch.column(0), pa.array([p.tobytes() for p in np.packbits(y > 0, axis=1)], pa.binary()), norm.astype(np.float32), f.astype(np.float32)], schema=_CODED)
+
+    return vectors.mapInArrow(codes, "id long, code binary, norm float, f float")
+
+
+class Block:
+    """Queries as bit planes: q is about low + step * plane value, with a rounding of at most step / 2 a component."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, bits: int, seed: int):
+        self.ids = ids
+        norm = np.sqrt((x * x).sum(1))
+        y = x / norm[:, None] @ rotation(x.shape[1], bits, seed)
+        self.norm = norm.astype(np.float32)
+        low, high = y.min(1), y.max(1)
+        step = np.maximum((high - low) / ((1 << PLANES) - 1), 1e-12)
+        level = np.rint((y - low[:, None]) / step[:, None]).astype(np.uint8)
+        planes = [np.packbits((level >> k) & 1, axis=1) for k in range(PLANES)]
+        self.planes = np.stack([p.view(np.uint64) for p in planes], 1)
+        self.low, self.step = low.astype(np.float32), step.astype(np.float32)
+        self.level_sum = level.sum(1).astype(np.float32)
+        # What rounding left, as a vector: the same bound as for a code holds for its inner product with one.
+        self.lost = np.sqrt(((y - low[:, None] - step[:, None] * level) ** 2).sum(1)).astype(np.float32)
+
+    def bounds(self, j: int, code: np.ndarray, ones: np.ndarray, norm: np.ndarray, f: np.ndarray, eps: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the squared distances of query j to the coded vectors."""
+        common = np.zeros(len(code), np.float32)
+        for k in range(PLANES):
+            common += np.bitwise_count(code & self.planes[j, k]).sum(1, dtype=np.int32) * np.float32(1 << k)
+        # A code's direction has components +-1 / sqrt(bits): twice the sum over its ones less the sum of all.
+        product = 2 * (self.low[j] * ones + self.step[j] * common) - (self.low[j] * bits + self.step[j] * self.level_sum[j])
+        cosine = product / (f * np.float32(math.sqrt(bits)))
+        error = eps * (np.sqrt(np.maximum(1 - f * f, 0)) + self.lost[j]) / (f * np.float32(math.sqrt(max(bits - 1, 1))))
+        base, reach = norm * norm + self.norm[j] ** 2, 2 * norm * self.norm[j]
+        slack = base * np.float32(1e-5)
+        return base - reach * np.minimum(cosine + error, 1) - slack, base - reach * np.maximum(cosine - error, -1) + slack
+
+
+def _search(block, k: int, bits: int, eps: float):
+    """Pairs of a task that its own k-th smallest upper bound of each query leaves; at most HELD are held at once."""
+
+    def pieces(queries, kept, best):
+        for j, parts in enumerate(kept):
+            if parts:
+                ids, low, high = _left(parts, best[j, -1])
+                yield pa.record_batch([np.full(len(ids), queries.ids[j]), ids, low, high], schema=_FOUND)
+
+    def run(batches):
+        queries: Block = block.value
+        n = len(queries.ids)
+        best = np.full((n, k), np.inf, np.float32)
+        kept: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
+        held = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.asarray(batch.column(0).to_numpy())
+            code = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(ids), -1)
+            ones = np.bitwise_count(code).sum(1, dtype=np.int32).astype(np.float32)
+            norm, f = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for j in range(n):
+                low, high = queries.bounds(j, code, ones, norm, f, eps, bits)
+                own = ids == queries.ids[j]
+                if own.any():
+                    low[own] = high[own] = np.inf
+                top = np.concatenate((best[j], high[high < best[j, -1]]))
+                best[j] = np.sort(top)[:k]
+                pick = np.flatnonzero(low <= best[j, -1]) if best[j, -1] < np.inf else np.flatnonzero(low < np.inf)
+                kept[j].append((ids[pick], low[pick], high[pick]))
+                held += len(pick)
+            if held > HELD:
+                kept = [[_left(parts, best[j, -1])] if parts else [] for j, parts in enumerate(kept)]
+                held = sum(len(p[0]) for parts in kept for p in parts)
+                if held > HELD // 2:
+                    yield from pieces(queries, kept, best)
+                    kept, held = [[] for _ in range(n)], 0
+        yield from pieces(queries, kept, best)
+
+    return run
+
+
+def _left(parts, limit):
+    ids, low, high = (np.concatenate([p[m] for p in parts]) for m in range(3))
+    pick = low <= limit
+    return ids[pick], low[pick], high[pick]
+
+
+def _distance(a: Column, b: Column) -> Column:
+    square = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 0, eps: float = 3.5, seed: int = 17) -> DataFrame:
     """The k nearest of `vectors` to each of `queries` by Euclidean distance: query_id, rank, vec_id, score.
 
     Vectors that are null, zero or hold a null or non-finite component take no part, and neither do
-    those without an id or with another length than most of `vectors`. A row never finds its own id;
-    repeated rows of an id count once, ties go to the smaller id, fewer candidates give fewer rows.
-    Extra columns are ignored; an empty table gives no rows.
+    those without an id or with another length than most of `vectors`. A row never finds rows of its
+    own id. Every other row counts: repeated ids may appear more than once, and repeated query rows
+    share one list. Ties go to the smaller id, fewer candidates give fewer rows. Extra columns are
+    ignored; an empty table gives no rows. `bits` is four for each dimension where it is 0.
     """
     spark = vectors.sparkSession
 
     def ready(df: DataFrame) -> DataFrame:
-        d = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+        v = F.col(vec_col)
+        kind = df.schema[vec_col].dataType.simpleString()
+        d = df.select(F.col(id_col).cast("long").alias("id"), (v if kind in ("array<float>", "array<double>") else v.cast("array<double>")).alias("v"))
         return d.where(F.col("id").isNotNull() & usable(F.col("v")))
 
     c, q = ready(vectors), ready(queries)
     sizes = c.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = sizes[0]["dim"], sizes[0]["count"]
-    bits = max(bits, 8 * math.ceil(dim / 8))
-    q = q.where(F.size("v") == dim)
-    n_c = max(math.ceil(n / CANDIDATES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / 512)))
-    n_q = max(1, math.ceil(q.count() / QUERIES))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    c = encode(c.where(F.size("v") == dim), dim, bits, seed).withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int")).withColumn("qb", every(n_q))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int")).withColumn("cb", every(n_c))
-
-    def cell(key, left, right):
-        ids = np.asarray(left["id"].to_numpy())
-        asked = np.asarray(right["id"].to_numpy())
-        if not len(ids) or not len(asked):
-            return pa.table([[], [], []], schema=_RESULT)
-        _, once = np.unique(ids, return_index=True)
-        left, ids = left.take(pa.array(once)), ids[once]
-        _, once = np.unique(asked, return_index=True)
-        right, asked = right.take(pa.array(once)), asked[once]
-        x, y = _matrix(left["v"], dim), _matrix(right["v"], dim)
-        norm, f = np.asarray(left["norm"].to_numpy()), np.asarray(left["f"].to_numpy())
-        code = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        error = eps * np.sqrt(np.maximum(1 - f * f, 0) / (f * f * max(bits - 1, 1)))
-        scale = (1 / (f * math.sqrt(bits))).astype(np.float32)
-        out = []
-        turn = rotation(dim, bits, seed)
-        for a in range(0, len(asked), 256):
-            qv = y[a : a + 256]
-            qn = np.sqrt((qv * qv).sum(1))
-            turned = (qv / qn[:, None] @ turn).astype(np.float32)
-            plus = np.zeros((len(ids), len(qv)), np.float32)
-            for b in range(0, len(ids), 4096):
-                plus[b : b + 4096] = (np.unpackbits(code[b : b + 4096], axis=1).astype(np.float32)) @ turned.T
-            cosine = (2 * plus - turned.sum(1)[None, :]) * scale[:, None]
-            for j in range(len(qv)):
-                base = norm * norm + qn[j] * qn[j]
-                reach = 2 * norm * qn[j]
-                low = base - reach * np.minimum(cosine[:, j] + error, 1)
-                high = base - reach * np.maximum(cosine[:, j] - error, -1)
-                other = ids != asked[a + j]
-                high = high[other]
-                limit = np.partition(high, k - 1)[k - 1] if len(high) > k else np.inf
-                pick = np.flatnonzero((low <= limit * (1 + 1e-9) + 1e-12) & other)
-                diff = x[pick] - qv[j]
-                dist = np.sqrt((diff * diff).sum(1))
-                best = np.lexsort((ids[pick], dist))[:k]
-                out.append((np.full(len(best), asked[a + j]), ids[pick][best], dist[best]))
-        return pa.table([np.concatenate([o[m] for o in out]) for m in range(3)], schema=_RESULT)
-
-    hits = c.groupBy("cb", "qb").cogroup(q.groupBy("cb", "qb")).applyInArrow(cell, RESULT)
+        return spark.createDataFrame([], RESULT)
+    dim = sizes[0]["dim"]
+    bits = 64 * math.ceil(max(bits or 4 * dim, dim) / 64)
+    c, q = c.where(F.size("v") == dim), q.where(F.size("v") == dim)
+    index = checkpointed(encode(c, dim, bits, seed))
+    per_block = max(1, BLOCK_BYTES // (PLANES * bits // 8 + 4 * k + 8 * dim + 32))
+    blocks = max(1, math.ceil(q.count() / per_block))
+    found = []
+    for b in range(blocks):
+        # A block's size is about per_block and its parts are hashed evenly; one block at a time is on the driver.
+        own = q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
+        if not own.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast(Block(np.asarray(own["id"].to_numpy()), _matrix(own["v"], dim), bits, seed))
+        found.append(checkpointed(index.mapInArrow(_search(sent, k, bits, eps), FOUND)))
+        sent.unpersist()
+    if not found:
+        return spark.createDataFrame([], RESULT)
+    pairs = reduce(DataFrame.unionByName, found)
+    kth = Window.partitionBy("q").orderBy("high")
+    limit = pairs.select("q", "high", F.row_number().over(kth).alias("n")).where(F.col("n") <= k).groupBy("q").agg(F.max("high").alias("limit"), F.count(F.lit(1)).alias("n"))
+    left = pairs.join(limit, "q").where((F.col("low") <= F.col("limit")) | (F.col("n") < k)).select("q", "id").distinct()
+    near = left.join(c, "id").select("q", F.col("id").alias("vec_id"), "v").join(q.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
+    scored = near.select(F.col("q").alias("query_id"), "vec_id", _distance(F.col("v"), F.col("w")).alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
