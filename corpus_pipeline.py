@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.decontam import without_benchmark
-from quarry.llm.mixing import mix_sources
+from quarry.llm.mixing import added_name, mix_sources
 from quarry.llm.near_dedup import near_dedup
-from quarry.llm.queries import severity_grades
+from quarry.llm.queries import TOXIC_AT, TOXIC_GRADE, severity_grades
 from quarry.llm.secret_scan import redacted, secret_scan
 from quarry.llm.shared import checkpointed, shared_folder
 from quarry.llm.toxicity import fit_toxicity, without_toxic
@@ -23,7 +23,7 @@ from quarry.llm.toxicity import fit_toxicity, without_toxic
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go; null texts stay."""
     model = fit_toxicity(docs, severity_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return without_toxic(docs, model)
+    return without_toxic(docs, model, toxic_from=TOXIC_GRADE, threshold=TOXIC_AT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with how often; sources weigh 5, 2, 1, repeating, and share 150% of all words."""
-    return mix_sources(docs, weights=(5, 2, 1), share=1.5, most=2.0, keep=True).where("copies > 0")
+    return mix_sources(docs, weights=(5, 2, 1), share=1.5, most=2.0, keep=True).where(F.col(added_name("copies", docs.columns)) > 0)
 
 
 STAGES = [
