@@ -4,15 +4,17 @@
 2. Shingles that no other document holds bound what a text can have in common with any other: with W
    its whole and C its common weight, a link to another needs C >= threshold * W. Texts that fail are
    classes of their own. With C summed in blocks of the shingles' hashes and M the sum of both texts'
-   lesser blocks, M / (W + W' - M) bounds the similarity of two texts. Every other distinct text gets `bands * rows` consistent weighted samples of its TF-IDF shingles: with
-   r, c ~ Gamma(2, 1) and b ~ U(0, 1) by shingle and sample, t = floor(ln w / r + b), the sample is
-   the shingle of least ln c - r (t - b) - r. Two texts agree in a sample with a probability equal
-   to their weighted Jaccard similarity. Texts that agree in a whole band share a bucket.
+   lesser blocks, M / (W + W' - M) bounds the similarity of two texts. Every other distinct text gets
+   `bands * rows` consistent weighted samples of its TF-IDF shingles: with r, c ~ Gamma(2, 1) and
+   b ~ U(0, 1) by shingle and sample, t = floor(ln w / r + b), the sample is the pair (shingle, t)
+   of least ln c - r (t - b) - r. Two texts agree in a sample with a probability equal to their
+   weighted Jaccard similarity. Texts that agree in a whole band share a bucket.
 3. A bucket's text of least id leads it, and every member is verified against it by exact weighted
    Jaccard similarity. Where all members end in the leader's component, nothing is left to do. In the
    other buckets each member outside that component is verified against every member of another
-   component, unless that bound is too small or the distances of both to the leader differ by more than 1 - threshold: weighted
-   Jaccard distance is a metric, so those cannot link. No link within a bucket is lost, and none is capped.
+   component, unless that bound is too small or the distances of both to the leader differ by more
+   than 1 - threshold: weighted Jaccard distance is a metric, so those cannot link. No link within a
+   bucket is lost, and none is capped. Large buckets are cut into cells of bounded size.
 4. Links join into components by minimum labels; a class is named by its least id.
 
 The weight of a shingle is (1 + ln tf) * (1 + alpha * ln(1 + N / df) / ln(1 + N)). alpha is small on
@@ -31,19 +33,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed, textkit
-from .shared import checkpointed
+from .shared import checkpointed, dropped
 
 WIDTH = 5  # bytes of a shingle's hash that are sent, below the bucket's bits
 #: Most ids that are broadcast to thin out the documents before a verification; beyond it all are dealt.
 BROADCAST_IDS = 1_000_000
 #: Blocks of shingles whose weights bound what two texts share.
 BLOCKS = 64
+#: Members and outsiders of a bucket that meet in one group.
+CELL = 4096
 #: Slack for the rounding of 32-bit weights where distances are compared.
 SLACK = 1e-4
 _POOL = np.random.default_rng(31337)
 _R = _POOL.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
 _C = np.log(_POOL.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
 _B = _POOL.random(1 << 16, dtype=np.float32)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 SIGNED = "grp int, digest binary, ids array<long>, bands array<long>, levels binary, whole double, common array<float>"
 _SIGNED = pa.schema([("grp", pa.int32()), ("digest", pa.binary()), ("ids", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())), ("levels", pa.binary()), ("whole", pa.float64()), ("common", pa.list_(pa.float32()))])
 SIDE = "grp int, kind string, a long, b long, vals binary"
@@ -89,7 +94,7 @@ class _Shingles:
 
 
 def weighted_samples(keys: np.ndarray, weights: np.ndarray, edge: np.ndarray, samples: int) -> np.ndarray:
-    """The sampled key of each text (edge[i]:edge[i+1] of keys, none empty) for each sample."""
+    """The sampled (key, t) of each text (edge[i]:edge[i+1] of keys, none empty) for each sample, as one hash."""
     out = np.zeros((len(edge) - 1, samples), np.uint64)
     odd = np.random.default_rng(4242).integers(1, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     low16 = np.uint64(0xFFFF)
@@ -110,7 +115,8 @@ def weighted_samples(keys: np.ndarray, weights: np.ndarray, edge: np.ndarray, sa
             at = np.flatnonzero(value == np.repeat(least, sizes))
             owner = np.searchsorted(starts, at, "right") - 1
             first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            out[a:b, k] = h[at[first]]
+            pick = at[first]
+            out[a:b, k] = textkit.mix(h[pick] + t[pick].astype(np.int64).view(np.uint64) * _STEP)
         a = b
     return out
 
@@ -150,6 +156,7 @@ def components(links: DataFrame, a: str = "u", b: str = "l") -> DataFrame:
         near = checkpointed(passed.groupBy("node").agg(F.min("comp").alias("comp"), F.min("old").alias("old")))
         up = near.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         new = checkpointed(near.join(up, "comp", "left").select("node", F.least("comp", F.coalesce("top", "comp")).alias("comp"), "old"))
+        dropped(labels, near)
         labels = new.select("node", "comp")
         if not new.where("comp <> old").limit(1).count():
             return labels
@@ -160,21 +167,48 @@ def _with_component(rows: DataFrame, known: DataFrame, node: str, name: str) ->
     return rows.join(known.select(F.col("node").alias(node), F.col("comp").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _across(pairs: DataFrame, sims: DataFrame, known: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
+def _across(pairs: DataFrame, sims: DataFrame, known: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
     """(u, l) of the bucket members in different components that may link though neither leads.
 
     A member outside its leader's component meets the members of other components whose distance to
-    the leader is within 1 - `least` of its own, if the bound of both weights allows `least`. Those inside the leader's component never meet each
-    other, so a large group of copies costs one row for each of its members and outsider.
+    the leader is within 1 - threshold of its own, if the bound of both weights allows a link. Those
+    inside the leader's component never meet each other, so a large group of copies costs one row
+    for each of its members and outsider.
     """
-    with_both = _with_component(_with_component(pairs, known, "u", "cu"), known, "l", "cl")
-    outside = checkpointed(with_both.where("cu <> cl").join(sims, ["u", "l"]).join(sizes, "u").select("key", F.col("u").alias("l"), F.col("cu").alias("cr"), F.col("sim").alias("sr"), F.col("whole").alias("wr"), F.col("common").alias("mr")))
-    mixed = outside.select("key").distinct()
-    inner = checkpointed(with_both.join(mixed, "key", "left_semi").join(sims, ["u", "l"]).join(sizes, "u").select("key", "u", "cu", (F.col("cu") != F.col("cl")).alias("out"), "sim", "whole", "common"))
-    shared = F.aggregate(F.zip_with("common", "mr", lambda x, y: F.least(x, y)), F.lit(0.0), lambda total, x: total + x.cast("double"))
-    may = (F.abs(F.col("sim") - F.col("sr")) <= 1 - least) & (shared * (1 + least) >= least * (F.col("whole") + F.col("wr")))
-    met = inner.join(outside, "key").where((F.col("cu") != F.col("cr")) & may & (~F.col("out") | (F.col("u") > F.col("l"))))
-    return met.select("u", "l").distinct()
+    least = threshold - SLACK
+    # Only pairs below the threshold can have their ends in different components.
+    loose = _with_component(_with_component(sims.where(F.col("sim") < threshold), known, "u", "cu"), known, "l", "cl")
+    loose = checkpointed(loose.where("cu <> cl"))
+    outside = checkpointed(pairs.join(loose, ["u", "l"]).join(sizes, "u").select("key", F.col("u").alias("l"), F.col("cu").alias("cr"), F.col("sim").alias("sr"), F.col("whole").alias("wr"), F.col("common").alias("mr")))
+    in_mixed = pairs.join(outside.select("key").distinct(), "key", "left_semi").join(sims, ["u", "l"])
+    in_mixed = _with_component(_with_component(in_mixed, known, "u", "cu"), known, "l", "cl")
+    inner = checkpointed(in_mixed.join(sizes, "u").select("key", "u", "cu", (F.col("cu") != F.col("cl")).alias("out"), "sim", "whole", "common"))
+    # Members and outsiders of a bucket meet in cells of at most about CELL by CELL.
+    counts = inner.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(outside.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "key")
+    sides = counts.select("key", F.ceil(F.col("n") / CELL).cast("int").alias("a"), F.ceil(F.col("m") / CELL).cast("int").alias("b"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    split = inner.join(sides, "key").withColumn("pa", F.pmod(F.xxhash64("u"), "a").cast("int")).withColumn("pb", every("b")).drop("a", "b")
+    copied = outside.join(sides, "key").withColumn("pb", F.pmod(F.xxhash64("l"), "b").cast("int")).withColumn("pa", every("a")).drop("a", "b")
+
+    def meet(left, right):
+        u, cu, sim, whole, out = (np.asarray(left[c].to_numpy(zero_copy_only=False)) for c in ("u", "cu", "sim", "whole", "out"))
+        common = np.asarray(left["common"].combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, BLOCKS)
+        l, cr, sr, wr = (np.asarray(right[c].to_numpy()) for c in ("l", "cr", "sr", "wr"))
+        theirs = np.asarray(right["mr"].combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, BLOCKS)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for j in range(len(l)):
+            both = whole + wr[j]
+            at = np.flatnonzero((cu != cr[j]) & (~out | (u > l[j])) & (np.abs(sim - sr[j]) <= 1 - least) & (np.minimum(whole, wr[j]) * (1 + least) >= both * least))
+            if len(at):
+                at = at[np.minimum(common[at], theirs[j]).sum(1) * (1 + least) >= both[at] * least]
+                found.append((u[at], np.full(len(at), l[j])))
+        return pa.table([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], names=["u", "l"])
+
+    cell = ["key", "pa", "pb"]
+    met = split.groupBy(*cell).cogroup(copied.groupBy(*cell)).applyInArrow(meet, "u long, l long")
+    met = checkpointed(met.distinct())
+    dropped(loose, outside, inner)
+    return met
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 12, rows: int = 4, alpha: float = 0.25) -> DataFrame:
@@ -187,11 +221,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     for which the text of least MD5 speaks; rows with a null id are left out. Other columns
     are ignored; an empty table gives no rows.
     """
-    spark = df.sparkSession
-    groups, bits = packed.n_groups(spark), packed.bucket_bits(spark)
     docs = df.where(F.col(id_col).isNotNull())
-    total = max(docs.count(), 1)
-    dealt = packed.dealt(docs, id_col, text_col, groups)
+    plan = packed.layout(docs, text_col)
+    groups, bits, total = plan.groups, plan.bits, max(plan.rows, 1)
+    dealt = packed.dealt(docs, id_col, text_col, plan)
 
     def keys(key, table):
         s = _Shingles(_distinct(table)["text"], shingle, bits)
@@ -224,7 +257,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             [key[0].as_py()] * len(new), [digest[i] for i in new], [ids[i:e] for i, e in zip(new, ends)], [band.get(i, []) for i in new],
             [zlib.compress(level[s.edge[i] : s.edge[i + 1]].tobytes(), 1) if i in band else None for i in new], whole[new], [common[i].astype(np.float32) if i in band else None for i in new]], schema=_SIGNED)
 
-    back = packed.answer(dealt.groupBy("grp").applyInArrow(keys, packed.SENT), "level", WIDTH, _frequency)
+    back = packed.answer(dealt.groupBy("grp").applyInArrow(keys, packed.SENT), "level", WIDTH, plan, _frequency)
     signed = checkpointed(dealt.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(sign, SIGNED))
     # A text without words, or one that can have no link, is a class of its own; other copies share the least id.
     worded = signed.where(F.size("bands") > 0)
@@ -273,13 +306,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         if 2 * n <= BROADCAST_IDS:
             ids = F.broadcast(ids)
             few = docs.join(F.broadcast(ids.withColumnRenamed("a", id_col)), id_col, "left_semi")
-        some = packed.dealt(few, id_col, text_col, groups)
+        some = packed.dealt(few, id_col, text_col, plan)
         known = levels.join(ids, "a", "left_semi").select("grp", "kind", "a", "b", "vals")
         gu, gl = packed.group_of(F.col("u"), groups), packed.group_of(F.col("l"), groups)
         asks = ask.select(gl.alias("grp"), F.lit("ask").alias("kind"), F.col("l").alias("a"), gu.cast("long").alias("b")).distinct().withColumn("vals", nothing)
-        sent = some.groupBy("grp").cogroup(known.unionByName(asks).groupBy("grp")).applyInArrow(ship, SIDE)
+        sent = some.groupBy("grp").cogroup(plan.exchange(known.unionByName(asks), "grp").groupBy("grp")).applyInArrow(ship, SIDE)
         pairs = ask.select(gu.alias("grp"), F.lit("pair").alias("kind"), F.col("u").alias("a"), F.col("l").alias("b"), nothing)
-        side = known.unionByName(pairs).unionByName(sent)
+        side = plan.exchange(known.unionByName(pairs).unionByName(sent), "grp")
         return some.groupBy("grp").cogroup(side.groupBy("grp")).applyInArrow(compare, "u long, l long, sim double")
 
     lead = member.groupBy("key").agg(F.min("u").alias("l"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "l")
@@ -291,7 +324,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         sims = checkpointed(verify(ask, n))
         links = sims.where(F.col("sim") >= threshold).select("u", "l")
         known = components(links)
-        cross = checkpointed(_across(pairs, sims, known, texts.select("u", "whole", "common"), threshold - SLACK))
+        cross = _across(pairs, sims, known, texts.select("u", "whole", "common"), threshold)
         n = cross.count()
         if n:
             new = checkpointed(verify(cross, n).where(F.col("sim") >= threshold).select("u", "l"))

@@ -5,16 +5,21 @@ packed into one binary per key range (bucket); a bucket combines what all groups
 every group with one value per key *in the order sent*, so the answer needs no keys. A key that a
 third of all rows hold still arrives once per group. The exchange of the documents themselves is
 the same plan wherever it is used, so Spark shuffles them once and reuses it.
+
+Groups, buckets and the partitions of every exchange follow the bytes of the input, not the
+session's number of shuffle partitions, so a task's share stays the same at every size. Rows sent
+number groups times buckets at most, and never more than the keys, since empty buckets are left out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SENT = "bucket int, grp int, keys binary, vals binary"
@@ -23,24 +28,49 @@ _SENT = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("keys", pa.bina
 _BACK = pa.schema([("grp", pa.int32()), ("kind", pa.string()), ("bucket", pa.int32()), ("vals", pa.binary())])
 
 
-def n_groups(spark: SparkSession) -> int:
-    """Twice the shuffle partitions: a group is then about half a partition's share of the input."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text in a group, and in a partition of groups.
+GROUP_BYTES, PARTITION_BYTES = 16_000_000, 24_000_000
+#: Fewest partitions, for tables too small to fill more.
+LEAST = 12
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a table is dealt: its rows and bytes, and the groups, bucket bits and partitions that follow from them."""
+
+    rows: int
+    size: int
+
+    @property
+    def partitions(self) -> int:
+        return max(LEAST, math.ceil(self.size / PARTITION_BYTES))
+
+    @property
+    def groups(self) -> int:
+        return max(2 * LEAST, 2 * math.ceil(self.size / GROUP_BYTES))
+
+    @property
+    def bits(self) -> int:
+        return max(4, math.ceil(math.log2(self.groups / 2)))
+
+    def exchange(self, df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(self.partitions, key)
 
 
-def bucket_bits(spark: SparkSession) -> int:
-    """About half as many buckets as shuffle partitions: rows sent number groups times buckets."""
-    return max(4, math.ceil(math.log2(n_groups(spark) / 4)))
+def layout(df: DataFrame, text_col: str) -> Layout:
+    """Counted in one pass over the lengths of the texts."""
+    got = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()
+    return Layout(got[0], got[1] or 0)
 
 
 def group_of(id_col: Column, groups: int) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(groups)).cast("int")
 
 
-def dealt(df: DataFrame, id_col: str, text_col: str, groups: int) -> DataFrame:
-    """(grp, id, text); rows without an id are dealt by their text."""
+def dealt(df: DataFrame, id_col: str, text_col: str, plan: Layout) -> DataFrame:
+    """(grp, id, text), exchanged by group; rows without an id are dealt by their text."""
     key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))
-    return df.select(group_of(key, groups).alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return plan.exchange(df.select(group_of(key, plan.groups).alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "grp")
 
 
 def cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
@@ -66,8 +96,8 @@ def trim(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
     return keys >> np.uint64(low) << np.uint64(low) if low > 0 else keys
 
 
-def answer(sent: DataFrame, kind: str, width: int, combine: Callable[[np.ndarray, np.ndarray, list[bytes], list[int]], list[bytes | None]]) -> DataFrame:
-    """combine(order, starts, values, lengths) of a bucket: a binary for each sender, or None."""
+def answer(sent: DataFrame, kind: str, width: int, plan: Layout, combine: Callable[[np.ndarray, np.ndarray, list[bytes], list[int]], list[bytes | None]]) -> DataFrame:
+    """combine(order, starts, values, lengths) of a bucket: a binary for each sender, or None; exchanged by group."""
 
     def reduce(table):
         blobs, values, grp = table["keys"].to_pylist(), table["vals"].to_pylist(), table["grp"].to_pylist()
@@ -85,7 +115,7 @@ def answer(sent: DataFrame, kind: str, width: int, combine: Callable[[np.ndarray
         rows = [(g, b) for g, b in zip(grp, back) if b is not None]
         return pa.table([[g for g, _ in rows], [kind] * len(rows), [bucket] * len(rows), [b for _, b in rows]], schema=_BACK)
 
-    return sent.groupBy("bucket").applyInArrow(reduce, BACK)
+    return plan.exchange(plan.exchange(sent, "bucket").groupBy("bucket").applyInArrow(reduce, BACK), "grp")
 
 
 def split(values: np.ndarray, lengths: list[int]) -> list[np.ndarray]:

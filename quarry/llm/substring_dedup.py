@@ -120,9 +120,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if window < 3:
         raise ValueError("window must be 3 words at least")
-    spark = df.sparkSession
-    groups, bits = packed.n_groups(spark), packed.bucket_bits(spark)
-    docs = packed.dealt(df, id_col, text_col, groups)
+    plan = packed.layout(df, text_col)
+    bits = plan.bits
+    docs = packed.dealt(df, id_col, text_col, plan)
 
     def anchors(key, table):
         return _Group(table, window, bits).sent_anchors(key[0].as_py())
@@ -150,7 +150,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             kept.append(b" ".join(own).decode())
         return pa.table([table["id"], np.diff(g.first), removed, pa.array(kept, pa.string()), spans], schema=_RESULT)
 
-    hits = packed.answer(docs.groupBy("grp").applyInArrow(anchors, packed.SENT), "anchor", 4, _shared)
+    hits = packed.answer(docs.groupBy("grp").applyInArrow(anchors, packed.SENT), "anchor", 4, plan, _shared)
     sent = docs.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(windows, packed.SENT)
-    back = hits.unionByName(packed.answer(sent, "window", 8, _earlier))
+    back = hits.unionByName(packed.answer(sent, "window", 8, plan, _earlier))
     return docs.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(finish, RESULT)
