@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import graph, incremental, search, segments, symbols
+from .functions import ranking
+from .operators import graph, impact, incremental, search, segments, symbols
 from .plans import hybrid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,11 +39,11 @@ def segs(spark, d):
 
 
 def syms(spark, d):
-    return segments.symbol_rows(segments.line_tokens(segs(spark, d)))
+    return symbols.occurrences(segments.line_symbols(segs(spark, d)))
 
 
 def links(spark, d):
-    """href targets of pages; the first of a page are calls, the next conformance, the rest references."""
+    """href targets of pages; by position in the page they are in turn calls, references and conformance."""
     p = _t(spark, d, "pages").select(F.col("page_id").alias("source_id"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("pos", "raw_target"))
     kind = F.when(F.col("pos") % 3 == 0, "call").when(F.col("pos") % 3 == 1, "reference").otherwise("conformance")
     return segments.relation_rows(p.withColumn("kind", kind))
@@ -52,10 +53,10 @@ def page_definitions(spark, d):
     return _t(spark, d, "pages").select(T.canonical(F.regexp_extract("html", "<title>\\s*([^\\s<]+)", 1)).alias("symbol"), F.col("page_id").alias("node")).where("symbol <> ''")
 
 
-FILES = r"""files AS (SELECT doc_id, source AS context_id, CASE doc_id % 10 WHEN 0 THEN 'tests/' WHEN 1 THEN 'docs/' WHEN 2 THEN 'vendor/' ELSE 'src/' END || lang || '/' || source || '/doc_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.sql' ELSE '.rst' END AS file_path, text AS content, CASE doc_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'text' WHEN 2 THEN 'sql' ELSE 'restructuredtext' END AS language FROM documents)"""
+FILES = r"""files AS (SELECT doc_id, source AS context_id, CASE doc_id % 10 WHEN 0 THEN 'tests/' WHEN 1 THEN 'docs/' WHEN 2 THEN 'vendor/' ELSE 'src/' END || lang || '/' || source || '/doc_' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.sql' ELSE '.rst' END AS file_path, text AS content, CASE doc_id % 4 WHEN 0 THEN 'markdown' WHEN 1 THEN 'text' WHEN 2 THEN 'sql' ELSE 'rst' END AS language FROM documents)"""
 SEGS = FILES + r""", fl AS (SELECT *, string_split_regex(regexp_replace(content, '\r?\n$', ''), '\r?\n') AS l, CASE WHEN doc_id % 4 = 2 THEN 0 ELSE 10 END AS o FROM files WHERE content <> ''),
 fs AS (SELECT *, unnest(CASE WHEN o = 0 THEN range(0, len(l), 60) ELSE range(0, len(l), 50) END) AS s FROM fl),
-segs AS (SELECT left(sha256(context_id || chr(0) || file_path || chr(0) || (s + 1) || chr(0) || least(s + 60, len(l))), 32) AS segment_id, context_id, file_path, language, array_to_string(l[s + 1:s + 60], chr(10)) AS content, CAST(s + 1 AS BIGINT) AS line_start, CAST(least(s + 60, len(l)) AS BIGINT) AS line_end FROM fs WHERE s = 0 OR s + o < len(l))"""
+segs AS (SELECT doc_id, left(sha256(context_id || chr(0) || file_path || chr(0) || (s + 1) || chr(0) || least(s + 60, len(l))), 32) AS segment_id, context_id, file_path, language, array_to_string(l[s + 1:s + 60], chr(10)) AS content, CAST(s + 1 AS BIGINT) AS line_start, CAST(least(s + 60, len(l)) AS BIGINT) AS line_end FROM fs WHERE s = 0 OR s + o < len(l))"""
 SYMS = SEGS + r""", ln AS (SELECT segment_id, unnest(string_split(content, chr(10))) AS t, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS line FROM segs),
 wd AS (SELECT segment_id, line, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM ln),
 tok AS (SELECT segment_id, line, unnest(w) AS symbol, generate_subscripts(w, 1) - 1 AS k FROM wd),
@@ -79,13 +80,13 @@ _add("file_hashes", lambda s, d: files(s, d).groupBy("file_path").agg(F.max(F.sh
 _add("language_counts", lambda s, d: segs(s, d).groupBy("language").agg(F.countDistinct("file_path").alias("n_files"), F.count(F.lit(1)).alias("n_segments")), f"WITH {SEGS} SELECT language, count(DISTINCT file_path) AS n_files, count(*) AS n_segments FROM segs GROUP BY language")
 _add("count_segments_files", lambda s, d: segs(s, d).groupBy("context_id").agg(F.count(F.lit(1)).alias("n_segments"), F.countDistinct("file_path").alias("n_files")), f"WITH {SEGS} SELECT context_id, count(*) AS n_segments, count(DISTINCT file_path) AS n_files FROM segs GROUP BY context_id")
 _add("paths_by_language", lambda s, d: segs(s, d).where("language = 'sql'").select("file_path").distinct(), f"WITH {SEGS} SELECT DISTINCT file_path FROM segs WHERE language = 'sql'")
-_LIKE = "lower(file_path) LIKE '%/tests/%' OR lower(file_path) LIKE 'tests/%' OR lower(file_path) LIKE '%_test.rs' OR lower(file_path) LIKE '%.spec.ts' OR lower(file_path) LIKE '%/spec/%'"
-_add("test_like_paths", lambda s, d: files(s, d).where(_LIKE).select("file_path").distinct(), f"WITH {FILES} SELECT DISTINCT file_path FROM files WHERE {_LIKE}")
-_add("scoped_test_like_paths", lambda s, d: files(s, d).where(_LIKE).where(T.in_scope(F.col("file_path"), "tests/en")).select("file_path").distinct(), f"WITH {FILES} SELECT DISTINCT file_path FROM files WHERE ({_LIKE}) AND (file_path = 'tests/en' OR starts_with(file_path, 'tests/en/'))")
+_LIKE = " OR ".join(f"lower(file_path) LIKE '{p}'" for p in ("tests/%", "%/tests/%", "%/test/%", "%/spec/%", "%/__tests__/%", "%_test.rs", "%_spec.rs", "%.test.ts", "%.spec.ts", "%.test.js", "%.spec.js"))
+_add("test_like_paths", lambda s, d: files(s, d).where(impact.test_like(F.col("file_path"))).select("file_path").distinct(), f"WITH {FILES} SELECT DISTINCT file_path FROM files WHERE {_LIKE}")
+_add("scoped_test_like_paths", lambda s, d: files(s, d).where(impact.test_like(F.col("file_path"))).where(T.in_scope(F.col("file_path"), "tests/en")).select("file_path").distinct(), f"WITH {FILES} SELECT DISTINCT file_path FROM files WHERE ({_LIKE}) AND (file_path = 'tests/en' OR starts_with(file_path, 'tests/en/'))")
 _add("segments_by_file", lambda s, d: segs(s, d).where(F.col("file_path").endswith("/doc_7.rst")).select("segment_id", "line_start"), f"WITH {SEGS} SELECT segment_id, line_start FROM segs WHERE ends_with(file_path, '/doc_7.rst')")
 _add("path_functions", lambda s, d: files(s, d).select("file_path", T.top_level_dir(F.col("file_path")).alias("top"), T.parent_scope(F.col("file_path")).alias("parent"), T.normalized_stem(F.col("file_path")).alias("stem"), T.is_test_path(F.col("file_path")).alias("test"), F.round(T.path_affinity(F.col("file_path"), F.lit("src/en/src0/doc_3.rst")), 6).alias("affinity")),
      f"""WITH {FILES}, p AS (SELECT *, string_split(file_path, '/') AS x, string_split('src/en/src0/doc_3.rst', '/') AS y FROM files)
-SELECT file_path, x[1] AS top, array_to_string(x[:-2], '/') AS parent, regexp_replace(lower(string_split(x[-1], '.')[1]), '^(test_|spec_)|(_test|_tests|_spec)$', '', 'g') AS stem, list_has_any(x, ['tests', 'test', 'spec', '__tests__']) AS test, round(len(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[1:k] = y[1:k])) / greatest(len(x), len(y)), 6) AS affinity FROM p""")
+SELECT file_path, x[1] AS top, array_to_string(x[:-2], '/') AS parent, regexp_replace(lower(string_split(x[-1], '.')[1]), '^(test_)*(spec_)*|((_test)|(_spec))+$', '', 'g') AS stem, list_has_any(x, ['tests', 'test', 'spec', '__tests__']) AS test, round(len(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[1:k] = y[1:k])) / greatest(len(x), len(y)), 6) AS affinity FROM p""")
 
 # Retrieval.
 def _query_vector(s, d):
@@ -97,27 +98,32 @@ def _vectors(s, d):
     return _t(s, d, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding", F.concat(F.lit("ctx"), (F.col("label") % 3).cast("string")).alias("context_id"))
 
 
-_COS = "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6)"
+_COS = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 _VEC = f"v AS (SELECT e.vec_id, 'ctx' || (e.label % 3) AS context_id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"
-_add("vector_topk", lambda s, d: search.vector_topk(_vectors(s, d), _query_vector(s, d), 20).select("vec_id", "score"), f"WITH {_VEC} SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT 20")
-_add("vector_topk_then_filter", lambda s, d: search.vector_topk(_vectors(s, d), _query_vector(s, d), 60).where("context_id = 'ctx1'").select("vec_id", "score"), f"WITH {_VEC} SELECT vec_id, score FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT 60) WHERE context_id = 'ctx1'")
+_add("vector_topk", lambda s, d: search.vector_topk(_vectors(s, d), _query_vector(s, d), 20).select("vec_id", F.round("score", 6).alias("score")), f"WITH {_VEC} SELECT vec_id, round(score, 6) AS score FROM v ORDER BY score DESC, vec_id LIMIT 20")
+_add("vector_topk_then_filter", lambda s, d: search.vector_topk(_vectors(s, d), _query_vector(s, d), 60).where("context_id = 'ctx1'").select("vec_id", F.round("score", 6).alias("score")), f"WITH {_VEC} SELECT vec_id, round(score, 6) AS score FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT 60) WHERE context_id = 'ctx1'")
 
 
 def _context_candidates(s, d):
     v = _vectors(s, d)
-    return search.vector_topk(v, _query_vector(s, d), search.vector_k(search.n_contexts(v))).where("context_id = 'ctx1'").select("vec_id", "score")
+    return search.vector_topk(v, _query_vector(s, d), search.vector_k(search.n_contexts(v))).where("context_id = 'ctx1'").select("vec_id", F.round("score", 6).alias("score"))
 
 
-_add("vector_context_candidates", _context_candidates, f"WITH {_VEC} SELECT vec_id, score FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT (SELECT 400 * greatest(1, least(8, count(DISTINCT context_id))) FROM v)) WHERE context_id = 'ctx1'")
+_add("vector_context_candidates", _context_candidates, f"WITH {_VEC} SELECT vec_id, round(score, 6) AS score FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT (SELECT 400 * greatest(1, least(8, count(DISTINCT context_id))) FROM v)) WHERE context_id = 'ctx1'")
 _add("embedding_norms", lambda s, d: _vectors(s, d).select("vec_id", F.round(F.sqrt(search.dot(F.col("embedding"), F.col("embedding"))), 5).alias("norm")), "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
 _add("vector_contexts", lambda s, d: _vectors(s, d).agg(F.countDistinct("context_id").alias("n")), "SELECT count(DISTINCT label % 3) AS n FROM embeddings")
-TERMS = ("edan", "stupid", "with")
+QUERY = ranking.Query("edan stupid with src")
+TERMS = tuple(QUERY.terms)
 BM25 = r"""tk AS (SELECT segment_id, list_filter(string_split_regex(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM segs),
 tf AS (SELECT segment_id, len(t)::DOUBLE AS n, w, len(list_filter(t, lambda x: x = w))::DOUBLE AS tf FROM tk, (SELECT unnest(@TERMS) AS w)),
 st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM tk), df AS (SELECT w, sum(CASE WHEN tf > 0 THEN 1 ELSE 0 END) AS df FROM tf GROUP BY w),
-sc AS (SELECT segment_id, round(sum(greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.n / a))), 6) AS score FROM tf JOIN df USING (w), st GROUP BY segment_id HAVING sum(tf) > 0),
+sc AS (SELECT segment_id, sum(greatest(ln((st.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * tf.n / a))) AS score FROM tf JOIN df USING (w), st GROUP BY segment_id HAVING sum(tf) > 0),
 fts AS (SELECT *, row_number() OVER (ORDER BY score DESC, segment_id) AS r FROM sc ORDER BY score DESC, segment_id LIMIT 400)""".replace("@TERMS", "[" + ", ".join(f"'{t}'" for t in TERMS) + "]")
-_add("bm25_topk", lambda s, d: search.bm25_topk(segs(s, d), TERMS), f"WITH {SEGS}, {BM25} SELECT segment_id, score FROM fts")
+_add("bm25_topk", lambda s, d: search.bm25_topk(segs(s, d), TERMS).select("segment_id", F.round("score", 6).alias("score")), f"WITH {SEGS}, {BM25} SELECT segment_id, round(score, 6) AS score FROM fts")
+_add("bm25_index_topk", lambda s, d: search.postings_topk(search.positions(segs(s, d)), [[t] for t in TERMS], search.index_stats(segs(s, d))).select("segment_id", F.round("score", 6).alias("score")), f"WITH {SEGS}, {BM25} SELECT segment_id, round(score, 6) AS score FROM fts")
+PHRASES = (("the", "the"), ("in", "the"), ("of", "the"))
+_PH = BM25.replace("(SELECT unnest(" + "[" + ", ".join(f"'{t}'" for t in TERMS) + "]" + ") AS w)", "(SELECT unnest([" + ", ".join(f"' {'  '.join(p)} '" for p in PHRASES) + "]) AS w)").replace("len(list_filter(t, lambda x: x = w))::DOUBLE", "(len(string_split('  ' || array_to_string(t, '  ') || '  ', w)) - 1)::DOUBLE")
+_add("bm25_phrase", lambda s, d: search.phrase_topk(segs(s, d), PHRASES).select("segment_id", F.round("score", 6).alias("score")), f"WITH {SEGS}, {_PH} SELECT segment_id, round(score, 6) AS score FROM fts")
 _add("inverted_index", lambda s, d: search.postings(segs(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf")), rf"WITH {SEGS}, w AS (SELECT segment_id, unnest(string_split_regex(lower(content), '[^\p{{L}}\p{{N}}]+')) AS term FROM segs) SELECT term, count(DISTINCT segment_id) AS df, count(*) AS cf FROM w WHERE term <> '' GROUP BY term")
 
 
@@ -125,27 +131,54 @@ def _symbol_list(s, d):
     return syms(s, d).where(F.col("canonical_symbol").isin(*TERMS)).groupBy("segment_id").agg(F.count(F.lit(1)).cast("double").alias("score")).orderBy(F.desc("score"), "segment_id").limit(400)
 
 
-FUSED = SYMS + ", " + BM25 + r""", sl AS (SELECT *, row_number() OVER (ORDER BY score DESC, segment_id) AS r FROM (SELECT segment_id, count(*)::DOUBLE AS score FROM syms WHERE canonical_symbol IN (@T) GROUP BY segment_id ORDER BY score DESC, segment_id LIMIT 400)),
-rrf AS (SELECT segment_id, sum(w / (60 + r)) AS rrf FROM (SELECT segment_id, r, 1.0 AS w FROM fts UNION ALL SELECT segment_id, r, 4.0 FROM sl) GROUP BY segment_id),
-bo AS (SELECT segs.*, round(rrf * CASE WHEN contains(lower(file_path), 'test') OR contains(lower(file_path), 'spec') THEN 0.7 WHEN contains(lower(file_path), 'doc') OR contains(lower(file_path), 'readme') THEN 0.8 WHEN contains(lower(file_path), 'vendor') THEN 0.5 ELSE 1.0 END * CASE WHEN language = 'markdown' THEN 0.72 ELSE 1.0 END * CASE WHEN line_end - line_start + 1 <= 2 THEN 0.6 WHEN line_end - line_start + 1 <= 5 THEN 0.85 ELSE 1.0 END, 9) AS score FROM rrf JOIN segs USING (segment_id)),
-gr AS (SELECT file_path, list({'s': line_start, 'e': line_end, 'i': segment_id, 'c': score} ORDER BY score DESC, line_start, segment_id) AS a FROM bo GROUP BY file_path),
+VECTORS = f"""{_VEC}, vt AS (SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT (SELECT 400 * greatest(1, least(8, count(DISTINCT context_id))) FROM v)),
+vl AS (SELECT segment_id, row_number() OVER (ORDER BY score DESC, segment_id) AS r FROM vt JOIN segs ON vt.vec_id = segs.doc_id AND line_start = 1)"""
+_TOK = r"list_filter(string_split_regex(lower(regexp_replace(file_path, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_TERMS = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
+BOOSTS = rf"""bt AS (SELECT segs.*, rrf, len(list_filter({_TERMS}, lambda t: list_contains({_TOK}, t))) AS m, len(list_filter({_TERMS}, lambda t: contains(lower(file_path), t))) AS o FROM rrf JOIN segs USING (segment_id)),
+bo AS (SELECT *, rrf * 1.15 * CASE WHEN contains(lower(file_path), 'test') OR contains(lower(file_path), 'spec') THEN 0.7 WHEN contains(lower(file_path), 'doc') OR contains(lower(file_path), 'readme') THEN 0.8 WHEN contains(lower(file_path), 'vendor') THEN 0.5 ELSE 1.0 END
+ * (1.0 + 0.06 * least(o, 3)) * (1.0 + 0.06 * least(m, 4) + CASE WHEN m = 4 THEN 0.35 WHEN m = 3 THEN 0.12 ELSE 0 END) * CASE m WHEN 0 THEN 0.75 WHEN 1 THEN 0.82 ELSE 1.0 END
+ * CASE WHEN language = 'markdown' THEN 0.72 ELSE 1.0 END * CASE WHEN line_end - line_start + 1 <= 2 THEN 0.6 WHEN line_end - line_start + 1 <= 5 THEN 0.85 ELSE 1.0 END AS score FROM bt),
+"""
+_RRF = "rrf AS (SELECT segment_id, sum(w / (60 + r)) AS rrf FROM (@LISTS) GROUP BY segment_id)"
+FUSED = SYMS + ", " + BM25 + ", " + VECTORS + """, sl AS (SELECT *, row_number() OVER (ORDER BY score DESC, segment_id) AS r FROM (SELECT segment_id, count(*)::DOUBLE AS score FROM syms WHERE canonical_symbol IN (@T) GROUP BY segment_id ORDER BY score DESC, segment_id LIMIT 400)),
+""".replace("@T", ", ".join(f"'{t}'" for t in TERMS)) + _RRF.replace("@LISTS", "SELECT segment_id, r, 1.5 AS w FROM vl UNION ALL SELECT segment_id, r, 1.0 FROM fts UNION ALL SELECT segment_id, r, 4.0 FROM sl") + ", " + BOOSTS + r"""gr AS (SELECT file_path, list({'s': line_start, 'e': line_end, 'i': segment_id, 'c': score} ORDER BY score DESC, line_start, segment_id) AS a FROM bo GROUP BY file_path),
 fo AS (SELECT file_path, list_reduce(a, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: x.s < y.e + 1 AND y.s < x.e + 1)) > 0 THEN acc ELSE list_append(acc, x) END, []::STRUCT(s BIGINT, e BIGINT, i VARCHAR, c DOUBLE)[])[1:3] AS a FROM gr),
-su AS (SELECT file_path, unnest(a) AS x FROM fo)""".replace("@T", ", ".join(f"'{t}'" for t in TERMS))
+su AS (SELECT file_path, unnest(a) AS x FROM fo)"""
+
+
+def _segment_vectors(s, d):
+    """A document's vector, bound to its first segment; vectors of no document stay candidates and go later."""
+    first = segs(s, d).where("line_start = 1").select("segment_id", F.regexp_extract("file_path", r"/doc_(\d+)\.", 1).cast("long").alias("vec_id"))
+    return _vectors(s, d), first
+
+
+def _vector_list(s, d):
+    v, first = _segment_vectors(s, d)
+    near = search.vector_topk(v, _query_vector(s, d), search.vector_k(search.n_contexts(v)))
+    return search.ranked(first.join(near.select("vec_id", "score"), "vec_id"), "vector")
 
 
 def _fused(s, d):
-    return search.fuse([search.ranked(search.bm25_topk(segs(s, d), TERMS), "fts"), search.ranked(_symbol_list(s, d), "symbol")])
+    return search.fuse([_vector_list(s, d), search.ranked(search.bm25_topk(segs(s, d), TERMS), "fts"), search.ranked(_symbol_list(s, d), "symbol")])
 
 
 def _boosted(s, d):
-    return search.boosted(segs(s, d).drop("content").join(_fused(s, d), "segment_id"))
+    return search.boosted(hybrid.with_meta(segs(s, d)).drop("content").join(F.broadcast(_fused(s, d)), "segment_id"), QUERY)
+
+
+def _hybrid(s, d):
+    v, first = _segment_vectors(s, d)
+    named = v.join(first, "vec_id", "left").select(F.coalesce("segment_id", F.concat(F.lit("none-"), F.col("vec_id").cast("string"))).alias("vec_id"), "embedding", "context_id")
+    return hybrid.hybrid_search(segs(s, d), None, QUERY.text, 10, named, _query_vector(s, d)).select("file_path", "segment_id", F.round("score", 9).alias("score"))
 
 
 _add("rrf_fusion", lambda s, d: _fused(s, d).select("segment_id", F.round("rrf", 9).alias("rrf")), f"WITH {FUSED} SELECT segment_id, round(rrf, 9) AS rrf FROM rrf")
-_add("ranked_boosts", lambda s, d: _boosted(s, d).select("segment_id", "score"), f"WITH {FUSED} SELECT segment_id, score FROM bo")
-_add("overlap_dedupe_file_cap", lambda s, d: search.suppressed(_boosted(s, d)).select("file_path", "segment_id", "score"), f"WITH {FUSED} SELECT file_path, x.i AS segment_id, x.c AS score FROM su")
-_add("fused_top", lambda s, d: search.top(search.suppressed(_boosted(s, d)), 10).select("file_path", "segment_id", "score"), f"WITH {FUSED} SELECT file_path, x.i AS segment_id, x.c AS score FROM su ORDER BY x.c DESC, file_path, x.s, x.i LIMIT 10")
-_add("hybrid_search", lambda s, d: hybrid.hybrid_search(segs(s, d), syms(s, d), "edan stupid with", 10).select("file_path", "segment_id", "score"), f"WITH {FUSED.replace('canonical_symbol IN (', chr(114) + 'eference_kind = ' + chr(39) + 'definition' + chr(39) + ' AND canonical_symbol IN (')} SELECT file_path, x.i AS segment_id, x.c AS score FROM su ORDER BY x.c DESC, file_path, x.s, x.i LIMIT 10")
+_add("fused_boosts", lambda s, d: _boosted(s, d).select("segment_id", F.round("score", 9).alias("score")), f"WITH {FUSED} SELECT segment_id, round(score, 9) AS score FROM bo")
+_add("overlap_dedupe_file_cap", lambda s, d: search.suppressed(_boosted(s, d)).select("file_path", "segment_id", F.round("score", 9).alias("score")), f"WITH {FUSED} SELECT file_path, x.i AS segment_id, round(x.c, 9) AS score FROM su")
+_add("fused_top", lambda s, d: search.top(search.suppressed(_boosted(s, d)), 10).select("file_path", "segment_id", F.round("score", 9).alias("score")), f"WITH {FUSED} SELECT file_path, x.i AS segment_id, round(x.c, 9) AS score FROM su ORDER BY x.c DESC, file_path, x.s, x.i LIMIT 10")
+_TWO = FUSED.replace(" UNION ALL SELECT segment_id, r, 4.0 FROM sl", "")
+_add("hybrid_search", _hybrid, f"WITH {_TWO} SELECT file_path, x.i AS segment_id, round(x.c, 9) AS score FROM su ORDER BY x.c DESC, file_path, x.s, x.i LIMIT 10")
 
 # Symbols.
 _add("symbol_rows", lambda s, d: syms(s, d).select("segment_id", "reference_kind", "canonical_symbol", "symbol"), f"WITH {SYMS} SELECT segment_id, reference_kind, canonical_symbol, symbol FROM syms")
@@ -202,6 +235,6 @@ _add("replace_merge", lambda s, d: incremental.replaced(_old(s, d), incremental.
 _add("intent_detection", lambda s, d: _t(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.intent(F.col("text")).alias("intent")),
      "WITH c AS (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user'), n AS (SELECT conv_id, turn, " + ", ".join(f"len(list_filter({list(v)}, lambda s: contains(q, s))) AS {k}" for k, v in T.INTENTS.items()) + " FROM c) SELECT conv_id, turn, CASE WHEN greatest(" + ", ".join(T.INTENTS) + ") = 0 OR greatest(" + ", ".join(T.INTENTS) + ") IS NULL THEN 'general' " + " ".join(f"WHEN {k} = greatest({', '.join(T.INTENTS)}) THEN '{k}'" for k in T.INTENTS) + " END AS intent FROM n")
 _add("camel_tokens", lambda s, d: _t(s, d, "benchmark").select("item_id", F.array_join(T.camel_tokens(F.col("text")), " ").alias("tokens")), r"SELECT item_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(text, '([\p{Ll}0-9])(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') AS tokens FROM benchmark")
-_add("burst_sessions", lambda s, d: _t(s, d, "events").groupBy(F.session_window("ts", "10 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("started"), "n"), "WITH e AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS brk FROM events), g AS (SELECT ts, sum(brk) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT min(ts) AS started, count(*) AS n FROM g GROUP BY g")
+_add("burst_sessions", lambda s, d: _t(s, d, "events").groupBy("user_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("started"), "n"), "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS brk FROM events), g AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS started, count(*) AS n FROM g GROUP BY user_id, g")
 _add("dirty_scopes", lambda s, d: _t(s, d, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("is_full"), F.size(F.collect_set("event_type")).cast("long").alias("n_paths")), "SELECT user_id, bool_or(event_type = 'error') AS is_full, count(DISTINCT event_type) AS n_paths FROM events GROUP BY user_id")
-_add("recall_at_k", lambda s, d: search.vector_topk(_vectors(s, d), _query_vector(s, d), 10).join(_t(s, d, "embeddings").select("vec_id", "label"), "vec_id").agg(F.round(F.avg((F.col("label") == 0).cast("double")), 6).alias("share")), f"WITH {_VEC} SELECT round(avg(CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT 10) JOIN embeddings USING (vec_id)")
+_add("vector_label_share", lambda s, d: search.vector_topk(_vectors(s, d), _query_vector(s, d), 10).join(_t(s, d, "embeddings").select("vec_id", "label"), "vec_id").agg(F.round(F.avg((F.col("label") == 0).cast("double")), 6).alias("share")), f"WITH {_VEC} SELECT round(avg(CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT 10) JOIN embeddings USING (vec_id)")

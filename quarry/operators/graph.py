@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BASE = {"call": 1.0, "conformance": 1.05, "reference": 0.65}
+from .impact import BASE, DECAY, kind_priority
 
 
-def kind_priority(kind: Column) -> Column:
-    return F.when(kind == "conformance", 0).when(kind == "call", 1).otherwise(2)
-
 
 def outbound(edges: DataFrame, source, limit: int) -> DataFrame:
     return edges.where(F.col("source_id") == source).orderBy(F.when(F.col("kind") == "call", 0).otherwise(1), "canonical_target", "raw_target", "edge_kind").limit(limit)
@@ -27,7 +24,7 @@ def budgeted(edges: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def two_hops(edges: DataFrame, definitions: DataFrame, seeds: DataFrame, per_hop: int = 8) -> DataFrame:
-    """(node, score, hop, reasons) over two budgeted hops from `seeds` (source_id).
+    """(node, score, hop, reasons) over two budgeted hops from `seeds` (source_id): edges of a frontier, then their budget, then definitions.
 
     An edge's lookup symbol resolves through `definitions` (symbol, node). Each edge scores its
     kind's weight times 0.7 per hop; a node sums its scores, and seeds never appear. A hop's
@@ -37,12 +34,15 @@ def two_hops(edges: DataFrame, definitions: DataFrame, seeds: DataFrame, per_hop
     weight = F.lit(BASE["reference"])
     for kind in ("call", "conformance"):
         weight = F.when(F.col("kind") == kind, BASE[kind]).otherwise(weight)
-    edges = budgeted(edges, per_hop).select("source_id", "lookup_symbol", weight.alias("weight"))
-    steps = edges.join(definitions.withColumnRenamed("symbol", "lookup_symbol"), "lookup_symbol").select("source_id", "node", "weight")
-    first = seeds.select("source_id").distinct().join(steps, "source_id").select("node", (F.col("weight") * 0.7).alias("score"), F.lit(1).alias("hop"))
+
+    def hop(front: DataFrame, n: int) -> DataFrame:
+        own = budgeted(edges.join(front, "source_id", "left_semi"), per_hop)
+        found = own.join(definitions.withColumnRenamed("symbol", "lookup_symbol"), "lookup_symbol")
+        return found.select("node", (weight * DECAY**n).alias("score"), F.lit(n).alias("hop"))
+
+    first = hop(seeds.select("source_id"), 1)
     front = first.select(F.col("node").alias("source_id")).distinct().join(seeds.select("source_id"), "source_id", "left_anti")
-    second = front.join(steps, "source_id").select("node", (F.col("weight") * 0.7 * 0.7).alias("score"), F.lit(2).alias("hop"))
-    seen = first.unionByName(second).join(seeds.select(F.col("source_id").alias("node")).distinct(), "node", "left_anti")
+    seen = first.unionByName(hop(front, 2)).join(seeds.select(F.col("source_id").alias("node")).distinct(), "node", "left_anti")
     return seen.groupBy("node").agg(F.round(F.sum("score"), 6).alias("score"), F.min("hop").alias("hop"), F.count(F.lit(1)).alias("reasons"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranking as R
 from ..functions import text as T
+from .impact import DEFINITION_TYPES
 
 K1, B, K_RRF, TOP = 1.2, 0.75, 60, 400
 WEIGHTS = {"vector": 1.5, "fts": 1.0, "symbol": 4.0}
@@ -31,9 +34,15 @@ def n_contexts(vectors: DataFrame) -> int:
 
 
 def vector_topk(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
-    """(vec_id, ..., score): the k most similar, ties to the smaller id."""
+    """(vec_id, ..., score): the k most similar, ties to the smaller id.
+
+    The query's norm is a constant; a stored norm of the vectors (column norm) is used where there is one.
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("score", F.round(cosine(F.col("embedding"), q), 6)).orderBy(F.desc("score"), "vec_id").limit(k)
+    size = math.sqrt(sum(float(x) * float(x) for x in query))
+    norm = F.col("norm") if "norm" in vectors.columns else F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    score = dot(F.col("embedding"), q) / (norm * size)
+    return vectors.withColumn("score", score).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
 def postings(segments: DataFrame, id_col: str = "segment_id") -> DataFrame:
@@ -42,23 +51,79 @@ def postings(segments: DataFrame, id_col: str = "segment_id") -> DataFrame:
     return t.select(id_col, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(id_col, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_topk(segments: DataFrame, terms: Sequence[str], k: int = TOP, id_col: str = "segment_id") -> DataFrame:
-    """(id, score): best k segments with any of the terms; statistics cover all segments.
+def tokens(content: Column) -> Column:
+    return F.filter(F.split(F.lower(content), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
-    Segments are scanned once for lengths and once for the terms' counts, which need no shuffle:
-    each text is folded in its own row, so only matching rows leave the scan.
-    """
-    words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    count = lambda t: F.size(F.filter("_t", lambda x: x == t)).cast("double")
-    s = segments.select(id_col, words.alias("_t")).select(id_col, F.size("_t").cast("double").alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = s.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
-    j = s.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))
+
+def _bm25(matches: DataFrame, stats: DataFrame, n: int, k: int, id_col: str) -> DataFrame:
+    """(id, score): best k of rows (id, len, tf0, tf1, ...) by the statistics of one row (n, avg_len, df0, df1, ...)."""
+    j = matches.where(" OR ".join(f"tf{i} > 0" for i in range(n))).join(F.broadcast(stats))
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(n):
         idf = F.greatest(F.ln((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-        tf = F.col(f"tf{i}")
+        tf = F.col(f"tf{i}").cast("double")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return j.select(id_col, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    return j.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+
+
+def phrase_topk(segments: DataFrame, phrases: Sequence[Sequence[str]], k: int = TOP, id_col: str = "segment_id") -> DataFrame:
+    """(id, score): best k segments with any of the phrases, each some tokens in a row; statistics cover all segments.
+
+    Each text is read in its own row, so only matching rows leave the scan.
+    """
+    if not phrases:
+        return segments.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    line = F.concat(F.lit("  "), F.array_join("_t", "  "), F.lit("  "))
+    count = lambda p: F.size(F.split(F.col("_l"), " " + "  ".join(p) + " ", -1)) - 1  # noqa: E731  tokens hold no sign of a pattern
+    s = segments.select(id_col, tokens(F.col("content")).alias("_t")).select(id_col, F.size("_t").cast("double").alias("len"), line.alias("_l"))
+    s = s.select(id_col, "len", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    stats = s.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(phrases))])
+    return _bm25(s, stats, len(phrases), k, id_col)
+
+
+def bm25_topk(segments: DataFrame, terms: Sequence[str], k: int = TOP, id_col: str = "segment_id") -> DataFrame:
+    return phrase_topk(segments, [[t] for t in terms], k, id_col)
+
+
+def positions(segments: DataFrame, id_col: str = "segment_id") -> DataFrame:
+    """(term, id, len, at): the stored index, with each term's positions; written by term, a query reads its terms only."""
+    t = segments.select(id_col, tokens(F.col("content")).alias("_t"))
+    e = t.select(id_col, F.size("_t").alias("len"), F.posexplode("_t").alias("pos", "term"))
+    return e.groupBy("term", id_col, "len").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+
+
+def index_stats(segments: DataFrame) -> DataFrame:
+    """One row: how many segments there are and their mean length in tokens."""
+    return segments.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("content")))).alias("avg_len"))
+
+
+def postings_topk(index: DataFrame, phrases: Sequence[Sequence[str]], stats: DataFrame | None = None, k: int = TOP, id_col: str = "segment_id") -> DataFrame:
+    """phrase_topk from a stored index of positions; without `stats` they are counted from the index, empty texts left out."""
+    if not phrases:
+        return index.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    own = index.where(F.col("term").isin(*{t for p in phrases for t in p}))
+    if stats is None:
+        stats = index.select(id_col, "len").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    rows = own.groupBy(id_col, "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("m"))
+    empty = F.array().cast("array<int>")
+
+    def count(phrase):
+        # A phrase starts where each of its tokens stands at its own distance.
+        starts = F.coalesce(F.col("m")[phrase[0]], empty)
+        for i, t in enumerate(phrase[1:], 1):
+            shift = F.lit(i)
+            starts = F.array_intersect(starts, F.transform(F.coalesce(F.col("m")[t], empty), lambda x: x - shift))  # noqa: B023
+        return F.size(starts)
+
+    rows = rows.select(id_col, "len", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    df = rows.agg(*[F.coalesce(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)), F.lit(0)).alias(f"df{i}") for i in range(len(phrases))])
+    return _bm25(rows, stats.join(df), len(phrases), k, id_col)
+
+
+def placed(rows: DataFrame, source: str, order: Sequence[str], id_col: str = "segment_id") -> DataFrame:
+    """Positions of a list in its own order, TOP at most."""
+    nth = F.row_number().over(Window.orderBy(*order, id_col))
+    return rows.select(id_col, nth.alias("rank"), F.lit(source).alias("src")).where(F.col("rank") <= TOP)
 
 
 def ranked(hits: DataFrame, source: str, id_col: str = "segment_id") -> DataFrame:
@@ -77,9 +142,17 @@ def fuse(lists: Sequence[DataFrame], id_col: str = "segment_id") -> DataFrame:
     return u.groupBy(id_col).agg(F.sum(weight / (K_RRF + F.col("rank"))).alias("rrf"))
 
 
-def boosted(rows: DataFrame, docs_intent: bool = False) -> DataFrame:
+def boosted(rows: DataFrame, q: R.Query) -> DataFrame:
+    """The fused score: rrf times all boosts."""
     n = F.col("line_end") - F.col("line_start") + 1
-    return rows.withColumn("score", F.round(F.col("rrf") * T.file_path_boost(F.col("file_path")) * T.content_kind_boost(F.col("language"), docs_intent) * T.short_segment_penalty(n), 9))
+    empty = F.array().cast("array<string>")
+    symbols = [F.array_join(c, " ") for c in ("defined_symbols", "referenced_symbols", "called_symbols")]
+    likely = (F.size(F.coalesce("defined_symbols", empty)) > 0) & F.coalesce(F.col("block_type").isin(*DEFINITION_TYPES), F.lit(False))
+    by_intent = R.intent_boost(q, F.coalesce("role", F.lit("")), likely, F.size(F.coalesce("called_symbols", empty)) > 0)
+    match = R.query_match_boost(q, [F.col("file_path"), F.col("block_type"), F.col("breadcrumb"), *symbols])
+    score = F.col("rrf") * by_intent * T.file_path_boost(F.col("file_path")) * R.query_path_boost(q, F.col("file_path")) * match
+    score = score * T.content_kind_boost(F.col("language"), F.col("file_path"), q.intent == "docs") * T.short_segment_penalty(n)
+    return rows.withColumn("score", score)
 
 
 def suppressed(rows: DataFrame, cap: int = 3) -> DataFrame:

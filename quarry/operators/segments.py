@@ -9,20 +9,58 @@ from ..functions import text as T
 
 #: Extensions whose chunks don't overlap.
 NO_OVERLAP = "json toml yaml yml proto properties conf ini tf hcl sql sq sqm".split()
-#: Chunker languages that differ from the extension.
-LANGUAGES = {"md": "markdown", "rst": "restructuredtext", "txt": "text", "yml": "yaml", "tf": "terraform", "proto": "protobuf"}
+#: Languages of the chunker by extension; any other extension names itself.
+LANGUAGES = {
+    "markdown": ("md", "markdown"), "text": ("txt",), "json": ("json",), "yaml": ("yaml", "yml"), "toml": ("toml",), "xml": ("xml",), "html": ("html", "htm"), "css": ("css",),
+    "sql": ("sql", "sq", "sqm"), "shell": ("sh", "bash", "zsh"), "ruby": ("rb",), "php": ("php",), "swift": ("swift",), "r": ("r",), "scala": ("scala",), "elixir": ("ex", "exs"),
+    "erlang": ("erl", "hrl"), "haskell": ("hs",), "lua": ("lua",), "perl": ("pl", "pm"), "dart": ("dart",), "protobuf": ("proto",), "dockerfile": ("dockerfile",),
+    "makefile": ("makefile", "mk", "justfile"), "cmake": ("cmake",), "terraform": ("tf", "hcl"), "config": ("properties", "conf", "ini"),
+}
+#: Languages with a grammar, by extension; those that structure cuts into segments; text types without a grammar.
+GRAMMARS = {
+    "rust": ("rs",), "python": ("py", "pyi"), "javascript": ("js", "mjs", "cjs", "jsx"), "typescript": ("ts", "mts", "cts", "tsx"), "go": ("go",), "java": ("java",), "c": ("c", "h"),
+    "cpp": ("cpp", "cc", "cxx", "hpp", "hh", "hxx"), "kotlin": ("kt", "kts"), "css": ("css",), "html": ("html", "htm"), "json": ("json",), "bash": ("sh", "bash", "zsh"),
+    "toml": ("toml",), "yaml": ("yaml", "yml"), "markdown": ("md", "markdown"),
+}
+STRUCTURAL = ("rust", "python", "javascript", "typescript", "go", "java", "c", "cpp", "kotlin", "css", "bash")
+TEXT_TYPES = "txt rst adoc asciidoc tex org proto properties conf ini tf hcl sql sq sqm dockerfile makefile justfile".split()
+#: Names that are a file type without an extension, and languages whose chunks get no vector.
+NAMED = ("dockerfile", "makefile", "justfile")
+DATA_LANGUAGES = ("json", "yaml", "toml", "protobuf", "terraform", "sql", "config", "makefile", "dockerfile")
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """The lower-cased extension, or the name itself of the few files that need none; else empty."""
+    ext = F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
+    name = F.lower(F.substring_index(path, "/", -1))
+    return F.when(ext != "", ext).when(name.isin(*NAMED), name).otherwise("")
+
+
+def _by_extension(ext: Column, table: dict[str, tuple[str, ...]], otherwise: Column) -> Column:
+    out = otherwise
+    for language_, extensions in table.items():
+        out = F.when(ext.isin(*extensions), language_).otherwise(out)
+    return out
 
 
 def language(path: Column) -> Column:
     ext = extension(path)
-    out = F.when(F.lit(False), "")
-    for k, v in LANGUAGES.items():
-        out = out.when(ext == k, v)
-    return out.otherwise(ext)
+    return _by_extension(ext, LANGUAGES, ext)
+
+
+def grammar(path: Column) -> Column:
+    return _by_extension(extension(path), GRAMMARS, F.lit(None).cast("string"))
+
+
+def route(path: Column) -> Column:
+    """structural, chunk or skip."""
+    ext = extension(path)
+    return F.when(grammar(path).isin(*STRUCTURAL), "structural").when(grammar(path).isNotNull() | ext.isin(*TEXT_TYPES), "chunk").otherwise("skip")
+
+
+def embeds(block_type: Column, language_: Column) -> Column:
+    """Whether a segment gets a vector: all but chunks of data languages."""
+    return (block_type != "chunk") | ~language_.isin(*DATA_LANGUAGES)
 
 
 def lines_of(content: Column) -> Column:
@@ -42,25 +80,20 @@ def chunk(files: DataFrame, window: int = 60, overlap: int = 10) -> DataFrame:
     own = F.when(extension(F.col("file_path")).isin(*NO_OVERLAP), 0).otherwise(min(overlap, window - 1))
     f = files.withColumn("_l", lines_of(F.col("content"))).withColumn("_o", own).where(F.size("_l") > 0)
     starts = F.filter(F.expr(f"sequence(0, size(_l) - 1, {window} - _o)"), lambda s: (s == 0) | (s + F.col("_o") < F.size("_l")))
-    f = f.withColumn("_s", F.explode(starts))
-    first, last = F.col("_s") + 1, F.least(F.col("_s") + window, F.size("_l"))
+    # Each window's lines are cut out before they become rows, so no row carries the whole file.
+    cut = lambda i: F.struct((i + 1).cast("long").alias("line_start"), F.least(i + window, F.size("_l")).cast("long").alias("line_end"), F.array_join(F.slice("_l", i + 1, F.lit(window)), "\n").alias("content"))
+    f = f.select("context_id", "file_path", F.explode(F.transform(starts, cut)).alias("w")).select("context_id", "file_path", "w.*")
     return f.select(
-        segment_id(F.col("context_id"), F.col("file_path"), first, last).alias("segment_id"), "context_id", "file_path", language(F.col("file_path")).alias("language"), F.lit("chunk").alias("block_type"),
-        F.array_join(F.slice("_l", first, F.lit(window)), "\n").alias("content"), first.cast("long").alias("line_start"), last.cast("long").alias("line_end"))
-
+        segment_id(F.col("context_id"), F.col("file_path"), F.col("line_start"), F.col("line_end")).alias("segment_id"), "context_id", "file_path", language(F.col("file_path")).alias("language"), F.lit("chunk").alias("block_type"),
+        "content", "line_start", "line_end", F.lit("IMPLEMENTATION").alias("role"), F.lit(0).alias("complexity"))
 
-def symbol_rows(tokens: DataFrame) -> DataFrame:
-    """(segment_id, symbol, reference_kind, pos): the first spelling of each canonical symbol and kind stays."""
-    t = tokens.withColumn("canonical_symbol", T.canonical(F.col("symbol"))).where("canonical_symbol <> ''")
-    return t.groupBy("segment_id", "reference_kind", "canonical_symbol").agg(F.min_by("symbol", "pos").alias("symbol"))
 
-
-def line_tokens(segments: DataFrame) -> DataFrame:
-    """First token of a line defines, every further token of four or more characters uses."""
-    lines = segments.select("segment_id", F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    words = lines.select("segment_id", "line", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("k", "symbol"))
-    kind = F.when(F.col("k") == 0, "definition").otherwise("usage")
-    return words.where((F.col("k") == 0) | (F.char_length("symbol") >= 4)).select("segment_id", "symbol", kind.alias("reference_kind"), (F.col("line") * 1_000_000 + F.col("k")).alias("pos"))
+def line_symbols(segments: DataFrame) -> DataFrame:
+    """Segments with symbols read from prose: a line's first token is defined, its further tokens of four or more characters are referenced."""
+    lines = F.transform(F.split("content", "\n"), lambda x: F.filter(F.split(x, " "), lambda t: t != ""))
+    uses = F.flatten(F.transform("_w", lambda w: F.filter(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda t: F.char_length(t) >= 4)))
+    first = F.filter(F.transform("_w", lambda w: F.try_element_at(w, F.lit(1))), lambda t: t.isNotNull())
+    return segments.withColumn("_w", lines).withColumns({"defined_symbols": first, "referenced_symbols": uses}).drop("_w")
 
 
 def relation_rows(raw: DataFrame) -> DataFrame:
@@ -70,3 +103,30 @@ def relation_rows(raw: DataFrame) -> DataFrame:
     r = r.where("lookup_symbol <> ''")
     first = Window.partitionBy("source_id", "kind", "lookup_symbol", "owner", "edge_kind").orderBy("pos")
     return r.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "pos")
+
+
+def relations_of(segments: DataFrame) -> DataFrame:
+    """(context_id, source_id, kind, raw_target, canonical_target, lookup_symbol, owner, edge_kind) of segments.
+
+    Calls come first, then references; a relation's own kind goes before that of its list. Where a
+    list of relations is empty, its symbols make bare identifiers. Of edges that agree in kind,
+    lookup, owner and shape the first stays. All of it happens within a segment's row.
+    """
+    kind_of = "array<struct<symbol:string,edge_kind:string,kind:string>>"
+    lists = []
+    for relations, names, kind in (("called_relations", "called_symbols", "call"), ("referenced_relations", "referenced_symbols", "reference")):
+        own = F.col(relations).cast(kind_of) if relations in segments.columns else F.lit(None).cast(kind_of)
+        bare = F.transform(F.coalesce(F.col(names), F.array().cast("array<string>")), lambda s: F.struct(s.alias("symbol"), F.lit("bare_identifier").alias("edge_kind"), F.lit(None).cast("string").alias("kind")))
+        own = F.when(F.coalesce(F.size(own), F.lit(0)) > 0, own).otherwise(bare.cast(kind_of))
+        default = F.lit(kind)
+        lists.append(F.transform(own, lambda r: F.struct(F.coalesce(r["kind"], default).alias("kind"), r["symbol"].alias("raw_target"), T.normalize_edge_kind(r["edge_kind"]).alias("edge_kind"))))  # noqa: B023
+    context = F.col("context_id") if "context_id" in segments.columns else F.lit("default")
+    r = segments.select(context.alias("context_id"), F.col("segment_id").alias("source_id"), F.concat(*lists).alias("r"))
+    r = r.select("context_id", "source_id", F.transform("r", lambda x, i: F.struct(
+        x["kind"].alias("kind"), F.coalesce(F.try_element_at(T.components(x["raw_target"]), F.lit(-1)), F.lit("")).alias("lookup_symbol"), T.owner_fingerprint(x["raw_target"]).alias("owner"),
+        x["edge_kind"].alias("edge_kind"), i.alias("i"), x["raw_target"].alias("raw_target"), T.canonical(x["raw_target"]).alias("canonical_target"))).alias("r"))
+    r = r.withColumn("r", F.array_sort(F.filter("r", lambda x: x["lookup_symbol"] != "")))
+    key = lambda x: F.struct(x["kind"], x["lookup_symbol"], x["owner"], x["edge_kind"])
+    first = F.filter("r", lambda x, i: (i == 0) | (key(F.col("r")[F.greatest(i - 1, F.lit(0))]) != key(x)))
+    out = r.select("context_id", "source_id", F.explode(first).alias("x"))
+    return out.select("context_id", "source_id", *[F.col(f"x.{c}").alias(c) for c in ("kind", "raw_target", "canonical_target", "lookup_symbol", "owner", "edge_kind")])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def exact(symbols: DataFrame, segments: DataFrame, canonical: str, kind: str = "definition") -> DataFrame:
     s = symbols.where((F.col("canonical_symbol") == canonical) & (F.col("reference_kind") == kind)).select("segment_id", "symbol")
@@ -32,6 +34,68 @@ def fuzzy(symbols: DataFrame, wanted: str) -> DataFrame:
     return m.join(F.broadcast(any_exact)).where("exact OR NOT any_exact").select("canonical_symbol")
 
 
+#: Block types whose definitions come first, fallback names from each of two lists, and the prefix that finds them.
+LEADING_TYPES = ("function", "struct", "trait", "class", "interface", "type", "enum")
+FALLBACK, SEED = 32, 3
+
+
+def occurrences(segments: DataFrame) -> DataFrame:
+    """(context_id, segment_id, symbol, canonical_symbol, reference_kind): the first spelling of each name and kind of a segment.
+
+    A segment's symbols stand in its row, so repeats go within the row and nothing is exchanged.
+    """
+    parts = []
+    for column, kind in (("defined_symbols", "definition"), ("referenced_symbols", "usage")):
+        named = F.filter(F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda s, i: F.struct(T.canonical(s).alias("c"), i.alias("i"), s.alias("s"))), lambda x: x["c"] != "")
+        context = F.col("context_id") if "context_id" in segments.columns else F.lit("default")
+        own = segments.select(context.alias("context_id"), "segment_id", F.array_sort(named).alias("_n"))
+        first = F.filter("_n", lambda x, i: (i == 0) | (F.col("_n")[F.greatest(i - 1, F.lit(0))]["c"] != x["c"]))
+        parts.append(own.select("context_id", "segment_id", F.explode(first).alias("x")).select("context_id", "segment_id", F.col("x.s").alias("symbol"), F.col("x.c").alias("canonical_symbol"), F.lit(kind).alias("reference_kind")))
+    return parts[0].unionByName(parts[1])
+
+
+def fallback_names(symbols: DataFrame, wanted: str) -> DataFrame:
+    """(canonical_symbol, turn): names that share the query's first letters, then names that contain it, each list by its own order."""
+    n = Window.orderBy("list", "at")
+    by_prefix = prefix(symbols, wanted[:SEED], FALLBACK).withColumn("at", F.struct(F.lit(0), F.lit(0), F.char_length("canonical_symbol"), "canonical_symbol"))
+    inside = containing(symbols, wanted, FALLBACK).withColumn("at", F.struct(F.when(F.col("canonical_symbol").startswith(wanted), 0).otherwise(1), F.abs(F.char_length("canonical_symbol") - len(wanted)), F.char_length("canonical_symbol"), "canonical_symbol"))
+    both = by_prefix.select("canonical_symbol", F.lit(0).alias("list"), F.col("at").cast("struct<a:int,b:int,c:int,d:string>").alias("at")).unionByName(inside.select("canonical_symbol", F.lit(1).alias("list"), F.col("at").cast("struct<a:int,b:int,c:int,d:string>").alias("at")))
+    first = both.groupBy("canonical_symbol").agg(F.min(F.struct("list", "at")).alias("x")).select("canonical_symbol", "x.*")
+    return first.select("canonical_symbol", F.row_number().over(n).alias("turn"))  # 64 names at most
+
+
+def lookup(segments: DataFrame, symbols: DataFrame, name: str, kind: str = "definition", fuzzy_too: bool = True) -> DataFrame:
+    """Segments that hold the name, with symbol and their position `at`: the exact name, else the nearest names in turn.
+
+    Within a name leading block types come first, then path, line and spelling. One row a segment.
+    """
+    wanted = "".join(c for c in name.lower() if c.isalnum())
+    own = symbols.where(F.col("reference_kind") == kind)
+    hits = own.where(F.col("canonical_symbol") == wanted).withColumn("turn", F.lit(0))
+    if fuzzy_too and wanted and not hits.limit(1).count():
+        near = fuzzy(fallback_names(own, wanted), wanted).join(fallback_names(own, wanted), "canonical_symbol")
+        hits = own.join(F.broadcast(near), "canonical_symbol")
+    rows = segments.join(hits.select("segment_id", "symbol", "turn"), "segment_id")
+    lead = F.when(F.col("block_type").isin(*LEADING_TYPES), 0).otherwise(1)
+    order = F.struct("turn", lead.alias("lead"), "file_path", "line_start", "symbol", "segment_id")
+    once = rows.withColumn("place", order).withColumn("nth", F.row_number().over(Window.partitionBy("segment_id").orderBy("place"))).where("nth = 1")
+    return once.withColumn("at", F.row_number().over(Window.orderBy("place"))).drop("place", "nth", "turn")  # the holders of one name
+
+
+def lookup_references(segments: DataFrame, symbols: DataFrame, name: str, include: str = "both", fuzzy_too: bool = True) -> DataFrame:
+    """Definitions, then usages of segments that don't define the name; `include` is definitions, references or both.
+
+    References are what `both` gives without the definitions.
+    """
+    if include not in ("definitions", "references", "both"):
+        raise ValueError("include must be definitions, references or both")
+    d = lookup(segments, symbols, name, "definition", fuzzy_too).withColumn("reference_kind", F.lit("definition"))
+    if include == "definitions":
+        return d
+    u = lookup(segments, symbols, name, "usage", fuzzy_too).withColumn("reference_kind", F.lit("usage")).join(d.select("segment_id"), "segment_id", "left_anti")
+    return u if include == "references" else d.unionByName(u.select(*d.columns))
+
+
 def references(symbols: DataFrame, canonical: str) -> DataFrame:
     """Definitions, then usages of segments that don't define the symbol."""
     s = symbols.where(F.col("canonical_symbol") == canonical)
@@ -41,9 +105,30 @@ def references(symbols: DataFrame, canonical: str) -> DataFrame:
 
 
 def handles(segments: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(handle, status, segment_id): exact id first, else a unique prefix; ambiguous ones list at most five ids."""
-    h = wanted.select("handle", F.lower(F.regexp_replace("handle", "^:", "")).alias("_h"))
-    m = h.join(segments.select("segment_id"), F.col("segment_id").startswith(F.col("_h")), "left")
+    """(handle, status, segment_ids): exact id first, else a unique prefix; ambiguous ones list at most five ids.
+
+    Handles are a request's list. Each length among them joins by the ids' prefix of that length, so
+    the join has a key and segments are read once for each of the few lengths.
+    """
+    h = wanted.select("handle", F.lower(F.regexp_replace(F.trim("handle"), "^:", "")).alias("_h")).withColumn("_n", F.char_length("_h"))
+    lengths = [r["_n"] for r in h.select("_n").distinct().orderBy("_n").limit(65).collect()]
+    ids = segments.select("segment_id")
+    prefixes = ids.select("segment_id", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)])).alias("_n")).select("segment_id", "_n", F.lower(F.left("segment_id", F.col("_n"))).alias("_h"))
+    m = h.join(prefixes, ["_n", "_h"], "left")
     g = m.groupBy("handle", "_h").agg(F.count("segment_id").alias("n"), F.max((F.col("segment_id") == F.col("_h")).cast("int")).alias("hit"), F.slice(F.array_sort(F.collect_set("segment_id")), 1, 5).alias("ids"))
     status = F.when((F.col("hit") == 1) | (F.col("n") == 1), "found").when(F.col("n") == 0, "not_found").otherwise("ambiguous")
     return g.select("handle", status.alias("status"), F.when(F.col("hit") == 1, F.col("_h")).otherwise(F.array_join("ids", ",")).alias("segment_ids"))
+
+
+def hydrate(segments: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Requests (pos, handle) in order with status and, where found, the segment's columns."""
+    state = handles(segments, wanted.select("handle").distinct())
+    found = state.where("status = 'found'").select("handle", F.col("segment_ids").alias("segment_id"))
+    rows = found.join(segments, "segment_id")
+    return wanted.join(state, "handle").join(rows, "handle", "left").orderBy("pos")
+
+
+def read_status(hydrated: DataFrame) -> DataFrame:
+    """One row: ok where every handle was found, partial where some were, else empty."""
+    ok = F.col("status") == "found"
+    return hydrated.agg(F.when(F.bool_and(ok), "ok").when(F.bool_or(ok), "partial").otherwise("empty").alias("status"))

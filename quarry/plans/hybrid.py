@@ -5,37 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import ranking as R
 from ..operators import search as S
 from ..operators import symbols as Y
 
+META = ("segment_id", "file_path", "language", "block_type", "line_start", "line_end", "breadcrumb", "role", "defined_symbols", "referenced_symbols", "called_symbols")
 
-def query_terms(query: str) -> list[str]:
-    """Distinct lower-cased words of three or more bytes without stop words."""
-    words = "".join(c.lower() if c.isalnum() else " " for c in query).split()
-    return list(dict.fromkeys(w for w in words if len(w.encode()) >= 3 and w not in T.STOP_WORDS))
 
+def with_meta(segments: DataFrame) -> DataFrame:
+    """Segments with every column that ranking reads; those that the table lacks are null, as for chunks."""
+    types = {"block_type": "string", "breadcrumb": "string", "role": "string"}
+    missing = {c: F.lit(None).cast(types.get(c, "array<string>")) for c in META if c not in segments.columns}
+    return segments.withColumns(missing) if missing else segments
 
-def hybrid_search(segments: DataFrame, symbols: DataFrame | None, query: str, limit: int = 5, vectors: DataFrame | None = None, query_vector=None) -> DataFrame:
+
+def symbol_list(segments: DataFrame, symbols: DataFrame, q: R.Query) -> DataFrame:
+    """(segment_id, rank, src) of the name that the query may be: definitions, and usages too where it asks for them."""
+    found = Y.lookup(segments, symbols, q.symbol, "definition").select("segment_id", "at", F.lit(0).alias("part"))
+    if q.intent == "usage":
+        uses = Y.lookup(segments, symbols, q.symbol, "usage").select("segment_id", "at", F.lit(1).alias("part"))
+        found = found.unionByName(uses.join(found.select("segment_id"), "segment_id", "left_anti"))
+    return S.placed(found, "symbol", ["part", "at"])
+
+
+def hybrid_search(segments: DataFrame, symbols: DataFrame | None, query: str, limit: int = 5, vectors: DataFrame | None = None, query_vector=None, postings: DataFrame | None = None) -> DataFrame:
     """(segment_id, file_path, line_start, line_end, score), best first; content is joined last.
 
     `vectors` (vec_id = segment_id, embedding, context_id) may hold other contexts than `segments`:
     candidates are taken over all of them, and those of no given segment go before ranks are dealt.
+    They are not asked where a single literal word has found something. `postings` is the stored
+    index; without it full text is read from the segments.
     """
-    terms = query_terms(query)
-    if not terms:
-        return segments.select("segment_id", "file_path", "line_start", "line_end", F.lit(0.0).alias("score"), "content").limit(0)
-    lists = [S.ranked(S.bm25_topk(segments, terms), "fts")]
-    if vectors is not None and query_vector is not None:
+    q = R.Query(query)
+    segments = with_meta(segments)
+    lists = []
+    phrases = [p for p in map(R.phrase_tokens, R.phrases(query)) if p]
+    if phrases:
+        lists.append(S.ranked(S.phrase_topk(segments, phrases) if postings is None else S.postings_topk(postings, phrases), "fts"))
+    if symbols is not None and q.symbol:
+        lists.append(symbol_list(segments, symbols, q))
+    literal = q.exact_word and any(x.limit(1).count() for x in lists)
+    if vectors is not None and query_vector is not None and not literal:
         near = S.vector_topk(vectors, query_vector, S.vector_k(S.n_contexts(vectors))).select(F.col("vec_id").alias("segment_id"), "score")
         lists.insert(0, S.ranked(near.join(segments.select("segment_id"), "segment_id", "left_semi"), "vector"))
-    if symbols is not None:
-        hit = symbols.where(F.col("canonical_symbol").isin(*terms) & (F.col("reference_kind") == "definition")).groupBy("segment_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-        lists.append(S.ranked(hit.orderBy(F.desc("score"), "segment_id").limit(S.TOP), "symbol"))
-    meta = segments.select("segment_id", "file_path", "language", "line_start", "line_end")
-    docs_intent = any(s in query.lower() for s in T.INTENTS["docs"])
-    best = S.top(S.suppressed(S.boosted(meta.join(S.fuse(lists), "segment_id"), docs_intent)), limit)
-    return best.join(segments.select("segment_id", "content"), "segment_id")
-
-
-symbol_lookup = Y.exact
+    if not lists:
+        return segments.select("segment_id", "file_path", "line_start", "line_end", F.lit(0.0).alias("score"), "content").limit(0)
+    fused = F.broadcast(S.fuse(lists))  # three lists of bounded length
+    best = S.top(S.suppressed(S.boosted(segments.select(*META).join(fused, "segment_id"), q)), limit)
+    return segments.select("segment_id", "content").join(F.broadcast(best), "segment_id").select(*best.columns, "content")
