@@ -238,3 +238,31 @@ _add("camel_tokens", lambda s, d: _t(s, d, "benchmark").select("item_id", F.arra
 _add("burst_sessions", lambda s, d: _t(s, d, "events").groupBy("user_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("started"), "n"), "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS brk FROM events), g AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS started, count(*) AS n FROM g GROUP BY user_id, g")
 _add("dirty_scopes", lambda s, d: _t(s, d, "events").groupBy("user_id").agg(F.bool_or(F.col("event_type") == "error").alias("is_full"), F.size(F.collect_set("event_type")).cast("long").alias("n_paths")), "SELECT user_id, bool_or(event_type = 'error') AS is_full, count(DISTINCT event_type) AS n_paths FROM events GROUP BY user_id")
 _add("vector_label_share", lambda s, d: search.vector_topk(_vectors(s, d), _query_vector(s, d), 10).join(_t(s, d, "embeddings").select("vec_id", "label"), "vec_id").agg(F.round(F.avg((F.col("label") == 0).cast("double")), 6).alias("share")), f"WITH {_VEC} SELECT round(avg(CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share FROM (SELECT * FROM v ORDER BY score DESC, vec_id LIMIT 10) JOIN embeddings USING (vec_id)")
+
+
+# Functions and statements of the index, over the tables' own names and paths.
+def _roles(s, d):
+    """Segments with block types, roles and symbols dealt by document number, as a code index would have them."""
+    i = F.col("doc_id")
+    block = F.element_at(F.array(*[F.lit(x) for x in ("function", "struct", "class", "macro", "chunk")]), (i % 5 + 1).cast("int"))
+    role = F.element_at(F.array(*[F.lit(x) for x in ("IMPLEMENTATION", "DEFINITION", "ORCHESTRATION", "IMPORT", "DOCS", None)]), (i % 6 + 1).cast("int"))
+    return files(s, d).select("doc_id", "file_path", block.alias("block_type"), role.alias("role"), (i % 4).cast("int").alias("complexity"), (i % 9 + 1).alias("n_lines"))
+
+
+ROLES = FILES + """, roles AS (SELECT doc_id, file_path, (['function', 'struct', 'class', 'macro', 'chunk'])[doc_id % 5 + 1] AS block_type, (['IMPLEMENTATION', 'DEFINITION', 'ORCHESTRATION', 'IMPORT', 'DOCS', NULL])[doc_id % 6 + 1] AS role, doc_id % 4 AS complexity, doc_id % 9 + 1 AS n_lines FROM files)"""
+_add("role_scores", lambda s, d: _roles(s, d).select("doc_id", impact.role_score(F.col("role")).alias("role_score"), F.round(impact.hop_score(F.lit(1.05), 2, F.struct("role", "file_path"), "tests"), 9).alias("hop_score")),
+     f"WITH {ROLES} SELECT doc_id, CASE role WHEN 'IMPLEMENTATION' THEN 1.0 WHEN 'ORCHESTRATION' THEN 0.95 WHEN 'DEFINITION' THEN 0.75 WHEN 'IMPORT' THEN 0.10 WHEN 'DOCS' THEN 0.05 ELSE 0.60 END::DOUBLE AS role_score, round(1.05::DOUBLE * 0.7 * 0.7 * CASE WHEN role IN ('IMPLEMENTATION', 'ORCHESTRATION') THEN 1.05 ELSE 1.0 END * CASE WHEN starts_with(file_path, 'tests/') THEN 1.10 ELSE 1.0 END, 9) AS hop_score FROM roles")
+_add("low_signal_paths", lambda s, d: files(s, d).select("file_path", T.is_test_path(F.col("file_path")).alias("test"), T.is_low_signal_path(F.col("file_path")).alias("low"), T.has_test_token(F.col("file_path")).alias("token")),
+     f"WITH {FILES}, p AS (SELECT file_path, '/' || lower(file_path) AS q FROM files) SELECT file_path, regexp_matches(q, '/(tests|test|spec|__tests__)/') AS test, regexp_matches(q, '/(tests|test|spec|__tests__|evals|benches|examples|vendor)/|node_modules') AS low, list_has_any(string_split_regex(lower(file_path), '[^a-z0-9]+'), ['test', 'tests', 'spec', 'specs']) AS token FROM p")
+_add("owner_alignment", lambda s, d: files(s, d).select("file_path", F.round(T.alignment(F.array(F.lit("en"), F.lit("src0")), T.owner_components(F.col("file_path"))), 9).alias("aligned")),
+     rf"WITH {FILES}, c AS (SELECT file_path, list_filter(list_transform(string_split_regex(file_path, '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '' AND NOT list_contains({LOW}, x)) AS h FROM files), k AS (SELECT file_path, h, list_position(h, 'en') AS a FROM c) SELECT file_path, round((0.65::DOUBLE * CASE WHEN a IS NULL OR a = 0 THEN 0 WHEN list_contains(h[a + 1:], 'src0') THEN 2 ELSE 1 END + 0.35::DOUBLE * CASE WHEN h[-1] = 'src0' THEN CASE WHEN h[-2] = 'en' THEN 2 ELSE 1 END ELSE 0 END) / 2, 9) AS aligned FROM k")
+_add("component_affinity", lambda s, d: files(s, d).select("file_path", F.round(T.component_affinity(F.col("file_path"), F.lit("tests/en/src0/doc_3.rst")), 9).alias("near")),
+     rf"WITH {FILES}, c AS (SELECT file_path, list_filter(list_transform(string_split_regex(file_path, '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]', '', 'g')), lambda x: x <> '' AND NOT list_contains({LOW}, x)) AS x, ['en', 'src0', 'doc3', 'rst'] AS y FROM files) SELECT file_path, round(len(list_filter(range(1, least(len(x), len(y)) + 1), lambda k: x[1:k] = y[1:k]))::DOUBLE / greatest(len(x), len(y)), 9) AS near FROM c")
+_add("common_scope", lambda s, d: files(s, d).groupBy("context_id").agg(F.collect_set("file_path").alias("p")).select("context_id", T.common_scope(F.filter("p", lambda x: x.startswith("src/en/"))).alias("scope")),
+     f"WITH {FILES}, g AS (SELECT context_id, count(DISTINCT file_path) FILTER (starts_with(file_path, 'src/en/')) AS n FROM files GROUP BY context_id) SELECT context_id, CASE WHEN n >= 2 THEN 'src/en/' || context_id END AS scope FROM g")
+_add("routes", lambda s, d: files(s, d).select("file_path", segments.route(F.col("file_path")).alias("route"), segments.embeds(F.lit("chunk"), segments.language(F.col("file_path"))).alias("embeds")),
+     f"WITH {FILES} SELECT file_path, 'chunk' AS route, language <> 'sql' AS embeds FROM files")
+_add("vector_recall", lambda s, d: search.recall_quantised(_vectors(s, d), _vectors(s, d).where("vec_id < 5"), 10),
+     f"WITH m AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS top FROM embeddings), z AS (SELECT vec_id, e, list_transform(e, lambda x: round(x / top * 127)) AS c FROM m), p AS (SELECT q.vec_id AS query_id, z.vec_id, list_dot_product(q.e, z.e) / sqrt(list_dot_product(z.e, z.e)) AS exact, list_dot_product(q.c, z.c) / sqrt(list_dot_product(z.c, z.c)) AS rough FROM z q, z WHERE q.vec_id < 5), r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, vec_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY rough DESC, vec_id) AS b FROM p) SELECT round(count(*) FILTER (a <= 10 AND b <= 10) / (10.0 * count(DISTINCT query_id)), 6)::DOUBLE AS recall FROM r")
+_add("stored_hashes", lambda s, d: incremental.stored_hashes(_old(s, d).where("modified_ns % 7 <> 0"), _new(s, d)).select("file_path", "file_hash"), f"WITH {SNAP} SELECT file_path, coalesce(o.file_hash, n.file_hash) AS file_hash FROM (SELECT * FROM old WHERE modified_ns % 7 <> 0) o FULL JOIN new n USING (context_id, file_path)")
+_add("full_run_work", lambda s, d: incremental.work(_new(s, d), _old(s, d), _old(s, d))[0].select("file_path"), f"WITH {SNAP} SELECT file_path FROM new ANTI JOIN old USING (context_id, file_path, file_hash)")

@@ -45,6 +45,27 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame
     return vectors.withColumn("score", score).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def quantised(v: Column) -> Column:
+    """Components as whole numbers from -127 to 127, the largest at an end."""
+    top = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    return F.transform(v, lambda x: F.round(x.cast("double") / top * 127))
+
+
+def recall_quantised(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """One row: the mean share of the true k nearest that quantised vectors find for a fixed list of queries."""
+    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), quantised(F.col("embedding")).alias("_qc")))
+    p = vectors.select("vec_id", "embedding", quantised(F.col("embedding")).alias("_c")).join(q)
+    p = p.select("query_id", "vec_id", (dot(F.col("_q"), F.col("embedding")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")))).alias("exact"), (dot(F.col("_qc"), F.col("_c")) / F.sqrt(dot(F.col("_c"), F.col("_c")))).alias("rough"))
+    top = lambda c: p.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "vec_id"))).where(F.col("n") <= k).select("query_id", "vec_id")
+    return recall(top("exact"), top("rough"))
+
+
+def recall(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: the mean over queries of the share of their gold rows (query_id, vec_id) that were found."""
+    hit = gold.join(found.withColumn("_hit", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("_hit") / F.count(F.lit(1))).alias("share"))
+    return hit.agg(F.round(F.avg("share"), 6).alias("recall"))
+
+
 def postings(segments: DataFrame, id_col: str = "segment_id") -> DataFrame:
     """(id, term, tf, len): the inverted index."""
     t = segments.select(id_col, F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("_t"))
