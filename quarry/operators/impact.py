@@ -122,11 +122,11 @@ def scored(rows: DataFrame, edge: str, source_path: str, target: str, emitted: s
     return rows.withColumn("confidence", F.when(F.col("named") == 0, 0.0).otherwise(total * gate * factor))
 
 
-def bucket(emitted: Column, runner_up: Column) -> Column:
-    """primary, contextual or null, for scored rows; runner_up is the next candidate's confidence, null without one."""
+def bucket(emitted: Column, runner_up: Column, in_tests: Column) -> Column:
+    """primary, contextual or null, for scored rows; runner_up is the next candidate's confidence, null without one, in_tests whether it is a test's."""
     c = F.col("confidence")
     clear = F.coalesce(c - runner_up >= MARGIN, F.lit(True)) | F.col("exact") | (F.col("aligned") >= OWNED)
-    only = F.coalesce(emitted["role"].isin("IMPORT", "DOCS"), F.lit(False)) | is_test_context(emitted)
+    only = F.coalesce(emitted["role"].isin("IMPORT", "DOCS"), F.lit(False)) | in_tests
     enough = c >= F.when(runner_up.isNull(), SOLO).otherwise(CONTESTED)
     return F.when(c < CONTEXTUAL, None).when(~only & (F.col("signals") >= SIGNALS) & clear & enough, "primary").otherwise("contextual")
 
@@ -178,7 +178,7 @@ def outbound(g: Graph, frontier: DataFrame, scope: str | None, hop: int) -> Data
     found = found.withColumn("shortlist", F.max(keeps_owner).over(group)).where((F.col("aligned") >= OWNED) | ~F.col("shortlist"))
     best = group.orderBy(F.desc("confidence"), F.desc("signals"), F.desc("aligned"), "n.file_path", "n.line_start", "n.segment_id")
     found = found.withColumn("place", F.row_number().over(best)).withColumn("next", F.lead("confidence").over(best)).where("place = 1")
-    found = found.withColumn("bucket", bucket(n, F.col("next"))).where("bucket IS NOT NULL")
+    found = found.withColumn("bucket", bucket(n, F.col("next"), F.col("late"))).where("bucket IS NOT NULL")
     first = Window.partitionBy("source_id", "nth").orderBy("late")
     found = found.withColumn("turn", F.row_number().over(first)).where("turn = 1")
     return found.select("n.segment_id", "bucket", hop_score(_pick(F.col("e.kind"), BASE) * F.col("confidence"), hop, n, scope).alias("score"), F.lit(hop).alias("hop"), _pick(F.col("e.kind"), OUT_REASON).alias("kind"), F.col("e.raw_target").alias("symbol"), F.col("source_id").alias("origin"))
@@ -201,7 +201,7 @@ def inbound(g: Graph, frontier: DataFrame, scope: str | None, hop: int) -> DataF
     edges = edges.join(types, ["origin", "nth"], "left").withColumn("m", F.explode(F.when(moves & F.col("types").isNotNull(), F.col("types")).otherwise(F.array("s"))))
     m = F.col("m")
     edges = edges.where(T.in_scope(m["file_path"], scope) & ~T.is_test_path(m["file_path"])).withColumn("source_path", F.col("s.file_path"))
-    found = scored(edges, "e", "source_path", "t", "m").withColumn("bucket", bucket(m, F.lit(None).cast("double"))).where("bucket IS NOT NULL")
+    found = scored(edges, "e", "source_path", "t", "m").withColumn("late", is_test_context(m)).withColumn("bucket", bucket(m, F.lit(None).cast("double"), F.col("late"))).where("bucket IS NOT NULL")
     return found.select("m.segment_id", "bucket", hop_score(_pick(F.col("e.kind"), BASE) * F.col("confidence"), hop, m, scope).alias("score"), F.lit(hop).alias("hop"), _pick(F.col("e.kind"), IN_REASON).alias("kind"), "symbol", "origin")
 
 

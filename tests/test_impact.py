@@ -10,6 +10,17 @@ RELATION = "array<struct<symbol:string,edge_kind:string,kind:string>>"
 SCHEMA = f"segment_id string, file_path string, language string, block_type string, content string, line_start long, line_end long, breadcrumb string, complexity int, role string, defined_symbols array<string>, referenced_symbols array<string>, called_symbols array<string>, called_relations {RELATION}, referenced_relations {RELATION}"
 
 
+@pytest.fixture(autouse=True, scope="module")
+def interpreted(spark):
+    """A few rows are not worth compiling each plan's long expressions for."""
+    conf = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
 def seg(name, path, line, block="function", role="DEFINITION", defines=(), refers=(), calls=(), call_edges=(), ref_edges=(), lines=5, complexity=1, crumb=None):
     return (name, path, "rust", block, f"fn {name}() {{}}", line, line + lines - 1, crumb, complexity, role, list(defines), list(refers), list(calls), list(call_edges), list(ref_edges))
 
