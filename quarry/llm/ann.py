@@ -3,15 +3,16 @@
 A vector's code is the sign pattern of its direction after a random rotation into `bits` dimensions,
 packed, with two scalars: its norm and the inner product f of the direction and its own code. For a
 query direction q, <code, q> / f estimates the inner product without bias, and the error is below
-eps * sqrt((1 - f^2) / (f^2 (bits - 1))) but for a tiny probability. The query is taken in four bit
-planes, so <code, q> is four counts of common bits of packed words; its rounding is part of the
+eps * sqrt((1 - f^2) / (f^2 (bits - 1))) but for a tiny probability. The query is taken in six bit
+planes, so <code, q> is six counts of common bits of packed words; its rounding is part of the
 bound. A candidate is reranked on its original vector unless its distance is above the k-th smallest
 upper bound even at its lower bound.
 
 The index holds codes and scalars only: bits / 8 + 16 bytes a vector. It is written once and read
 once for each block of queries, which is broadcast (its size is bounded); no candidate and no query
-is replicated or shuffled for the estimates. Pairs that a task's own bounds leave are cut once more
-by the bounds of all tasks, and only what then remains is joined to original vectors.
+is replicated or shuffled for the estimates. Of the pairs that a task's own bounds leave, the 2 k
+likeliest of each query are joined to original vectors; their k-th true distance cuts the others
+once more, and only what then remains is joined too.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .shared import checkpointed
 BLOCK_BYTES = 8_000_000
 #: Pairs that a task holds before it hands them on.
 HELD = 1 << 22
-PLANES = 4
+PLANES = 6
 RESULT = "query_id long, rank int, vec_id long, score double"
 FOUND = "q long, id long, low float, high float"
 _FOUND = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("low", pa.float32()), ("high", pa.float32())])
@@ -158,14 +159,14 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 0, eps: float = 3.5, seed: int = 17) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", bits: int = 0, eps: float = 3.0, seed: int = 17) -> DataFrame:
     """The k nearest of `vectors` to each of `queries` by Euclidean distance: query_id, rank, vec_id, score.
 
     Vectors that are null, zero or hold a null or non-finite component take no part, and neither do
     those without an id or with another length than most of `vectors`. A row never finds rows of its
     own id. Every other row counts: repeated ids may appear more than once, and repeated query rows
     share one list. Ties go to the smaller id, fewer candidates give fewer rows. Extra columns are
-    ignored; an empty table gives no rows. `bits` is four for each dimension where it is 0.
+    ignored; an empty table gives no rows. `bits` is sixteen for each dimension where it is 0.
     """
     spark = vectors.sparkSession
 
@@ -180,7 +181,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     if not sizes:
         return spark.createDataFrame([], RESULT)
     dim = sizes[0]["dim"]
-    bits = 64 * math.ceil(max(bits or 4 * dim, dim) / 64)
+    bits = 64 * math.ceil(max(bits or 16 * dim, dim) / 64)
     c, q = c.where(F.size("v") == dim), q.where(F.size("v") == dim)
     index = checkpointed(encode(c, dim, bits, seed))
     per_block = max(1, BLOCK_BYTES // (PLANES * bits // 8 + 4 * k + 8 * dim + 32))
@@ -197,10 +198,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     if not found:
         return spark.createDataFrame([], RESULT)
     pairs = reduce(DataFrame.unionByName, found)
-    kth = Window.partitionBy("q").orderBy("high")
-    limit = pairs.select("q", "high", F.row_number().over(kth).alias("n")).where(F.col("n") <= k).groupBy("q").agg(F.max("high").alias("limit"), F.count(F.lit(1)).alias("n"))
-    left = pairs.join(limit, "q").where((F.col("low") <= F.col("limit")) | (F.col("n") < k)).select("q", "id").distinct()
-    near = left.join(c, "id").select("q", F.col("id").alias("vec_id"), "v").join(q.select(F.col("id").alias("q"), F.col("v").alias("w")), "q")
-    scored = near.select(F.col("q").alias("query_id"), "vec_id", _distance(F.col("v"), F.col("w")).alias("score"))
+    vectors_of = lambda left: left.join(c, "id").select("q", F.col("id").alias("vec_id"), "v").join(q.select(F.col("id").alias("q"), F.col("v").alias("w")), "q").select(F.col("q").alias("query_id"), "vec_id", _distance(F.col("v"), F.col("w")).alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # The true distances of the likeliest pairs bound each query's k-th; no pair with a lower bound beyond it can matter.
+    likely = Window.partitionBy("q").orderBy(F.col("low") + F.col("high"), "id")
+    first = pairs.select("q", "id", F.row_number().over(likely).alias("n")).where(F.col("n") <= 2 * k).select("q", "id").distinct()
+    near = vectors_of(first).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    limit = near.groupBy(F.col("query_id").alias("q")).agg(F.max("score").alias("kth"), F.count(F.lit(1)).alias("n"))
+    limit = limit.select("q", F.when(F.col("n") < k, float("inf")).otherwise(F.col("kth") * F.col("kth") * (1 + 1e-5)).alias("limit"))
+    left = checkpointed(pairs.join(limit, "q").where(F.col("low") <= F.col("limit")).select("q", "id").distinct())
+    return vectors_of(left).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
