@@ -37,6 +37,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def shifted(values: Column) -> Column:
+    """Each element's predecessor in an array of strings; null before the first."""
+    return F.concat(F.array(F.lit(None).cast("string")), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))))
+
+
 def canonical(symbol: Column) -> Column:
     return F.regexp_replace(F.lower(symbol), r"[^\p{L}\p{N}]", "")
 

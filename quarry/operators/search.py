@@ -73,7 +73,7 @@ def postings(segments: DataFrame, id_col: str = "segment_id") -> DataFrame:
 
 
 def tokens(content: Column) -> Column:
-    return F.filter(F.split(F.lower(content), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.regexp_extract_all(F.lower(content), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def _bm25(matches: DataFrame, stats: DataFrame, n: int, k: int, id_col: str) -> DataFrame:
@@ -95,9 +95,11 @@ def phrase_topk(segments: DataFrame, phrases: Sequence[Sequence[str]], k: int =
     if not phrases:
         return segments.select(id_col, F.lit(0.0).alias("score")).limit(0)
     line = F.concat(F.lit("  "), F.array_join("_t", "  "), F.lit("  "))
-    count = lambda p: F.size(F.split(F.col("_l"), " " + "  ".join(p) + " ", -1)) - 1  # noqa: E731  tokens hold no sign of a pattern
+    padded = [" " + "  ".join(p) + " " for p in phrases]
+    count = lambda p: F.when(F.col("_l").contains(p), F.size(F.split("_l", p, -1)) - 1).otherwise(0)  # noqa: E731  tokens hold no sign of a pattern
     s = segments.select(id_col, tokens(F.col("content")).alias("_t")).select(id_col, F.size("_t").cast("double").alias("len"), line.alias("_l"))
-    s = s.select(id_col, "len", *[count(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    # A filter on the counts stops at the generator; below it, it would read each text again for each phrase.
+    s = s.select(id_col, F.inline(F.array(F.struct("len", *[count(p).alias(f"tf{i}") for i, p in enumerate(padded)]))))
     stats = s.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(phrases))])
     return _bm25(s, stats, len(phrases), k, id_col)
 

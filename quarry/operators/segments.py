@@ -65,7 +65,9 @@ def embeds(block_type: Column, language_: Column) -> Column:
 
 def lines_of(content: Column) -> Column:
     """Lines without a trailing empty one or a carriage return; empty content has none."""
-    body = F.regexp_replace(content, r"\r?\n$", "")
+    # A pattern's $ would also stand before a last line end and take two empty lines.
+    n = F.char_length(content)
+    body = F.when(content.endswith("\r\n"), F.left(content, n - 2)).when(content.endswith("\n"), F.left(content, n - 1)).otherwise(content)
     return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n"))
 
 
@@ -78,7 +80,8 @@ def chunk(files: DataFrame, window: int = 60, overlap: int = 10) -> DataFrame:
     """(context_id, file_path, content) to segments; a window at s exists iff s = 0 or s + overlap < lines."""
     window = max(window, 1)
     own = F.when(extension(F.col("file_path")).isin(*NO_OVERLAP), 0).otherwise(min(overlap, window - 1))
-    f = files.withColumn("_l", lines_of(F.col("content"))).withColumn("_o", own).where(F.size("_l") > 0)
+    # Only empty content has no line; asking that of the content keeps the lines from being cut twice.
+    f = files.where(F.col("content") != "").withColumn("_l", lines_of(F.col("content"))).withColumn("_o", own)
     starts = F.filter(F.expr(f"sequence(0, size(_l) - 1, {window} - _o)"), lambda s: (s == 0) | (s + F.col("_o") < F.size("_l")))
     # Each window's lines are cut out before they become rows, so no row carries the whole file.
     cut = lambda i: F.struct((i + 1).cast("long").alias("line_start"), F.least(i + window, F.size("_l")).cast("long").alias("line_end"), F.array_join(F.slice("_l", i + 1, F.lit(window)), "\n").alias("content"))
@@ -90,10 +93,10 @@ def chunk(files: DataFrame, window: int = 60, overlap: int = 10) -> DataFrame:
 
 def line_symbols(segments: DataFrame) -> DataFrame:
     """Segments with symbols read from prose: a line's first token is defined, its further tokens of four or more characters are referenced."""
-    lines = F.transform(F.split("content", "\n"), lambda x: F.filter(F.split(x, " "), lambda t: t != ""))
-    uses = F.flatten(F.transform("_w", lambda w: F.filter(F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda t: F.char_length(t) >= 4)))
-    first = F.filter(F.transform("_w", lambda w: F.try_element_at(w, F.lit(1))), lambda t: t.isNotNull())
-    return segments.withColumn("_w", lines).withColumns({"defined_symbols": first, "referenced_symbols": uses}).drop("_w")
+    # Patterns over the whole text; functions of each line and token would be interpreted.
+    first = F.regexp_extract_all("content", F.lit(r"(?:^|\n) *+([^ \n]+)"), 1)
+    further = F.regexp_replace("content", r"(?:^|\n) *+[^ \n]+", "\n")
+    return segments.withColumns({"defined_symbols": first, "referenced_symbols": F.regexp_extract_all(further, F.lit(r"[^ \n]{4,}"), 0)})
 
 
 def relation_rows(raw: DataFrame) -> DataFrame:

@@ -44,14 +44,18 @@ def occurrences(segments: DataFrame) -> DataFrame:
 
     A segment's symbols stand in its row, so repeats go within the row and nothing is exchanged.
     """
-    parts = []
-    for column, kind in (("defined_symbols", "definition"), ("referenced_symbols", "usage")):
-        named = F.filter(F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda s, i: F.struct(T.canonical(s).alias("c"), i.alias("i"), s.alias("s"))), lambda x: x["c"] != "")
-        context = F.col("context_id") if "context_id" in segments.columns else F.lit("default")
-        own = segments.select(context.alias("context_id"), "segment_id", F.array_sort(named).alias("_n"))
-        first = F.filter("_n", lambda x, i: (i == 0) | (F.col("_n")[F.greatest(i - 1, F.lit(0))]["c"] != x["c"]))
-        parts.append(own.select("context_id", "segment_id", F.explode(first).alias("x")).select("context_id", "segment_id", F.col("x.s").alias("symbol"), F.col("x.c").alias("canonical_symbol"), F.lit(kind).alias("reference_kind")))
-    return parts[0].unionByName(parts[1])
+    empty, null = F.array().cast("array<string>"), F.array(F.lit(None).cast("string"))
+    context = F.col("context_id") if "context_id" in segments.columns else F.lit("default")
+    lists = [F.struct(F.lit(kind).alias("reference_kind"), F.array_except(F.coalesce(column, empty), null).alias("s")) for column, kind in (("defined_symbols", "definition"), ("referenced_symbols", "usage"))]
+    own = ("context_id", "segment_id", "reference_kind")
+    rows = segments.select(context.alias("context_id"), "segment_id", F.inline(F.array(*lists)))
+    # All spellings of a row are made canonical at once; one that holds the separator sends its row to the slow way.
+    rows = rows.select(*own, "s", F.split(F.regexp_replace(F.lower(F.array_join("s", "\n")), r"[^\p{L}\p{N}\n]", ""), "\n").alias("j"))
+    rows = rows.select(*own, "s", F.when(F.size("j") == F.size("s"), F.col("j")).otherwise(F.transform("s", T.canonical)).alias("c"), F.slice(F.sequence(F.lit(0), F.size("s")), F.lit(1), F.size("s")).alias("i"))
+    rows = rows.select(*own, F.sort_array(F.arrays_zip("c", "i", "s")).alias("n"))
+    rows = rows.select(*own, F.col("n.c").alias("c"), F.col("n.s").alias("s"), T.shifted(F.col("n.c")).alias("before"))
+    rows = rows.select(*own, F.explode(F.arrays_zip("c", "s", "before")).alias("x")).where("x.c <> '' AND NOT x.c <=> x.before")
+    return rows.select("context_id", "segment_id", F.col("x.s").alias("symbol"), F.col("x.c").alias("canonical_symbol"), "reference_kind")
 
 
 def fallback_names(symbols: DataFrame, wanted: str) -> DataFrame:
