@@ -28,9 +28,13 @@ def fuzzy(symbols: DataFrame, wanted: str) -> DataFrame:
     n = len(wanted.encode())
     c = F.col("canonical_symbol")
     m = symbols.select("canonical_symbol").distinct().withColumn("exact", c == wanted)
-    near = c.contains(wanted) | (F.lit(wanted).contains(c) & (F.octet_length(c) * 2 >= n)) | (F.levenshtein(c, F.lit(wanted)) <= (1 if n <= 4 else 2))
+    far = 1 if n <= 4 else 2
+    # Names whose length differs by more than that need no distance; this is asked of every occurrence.
+    close = (F.abs(F.char_length(c) - len(wanted)) <= far) & (F.levenshtein(c, F.lit(wanted)) <= far)
+    near = c.contains(wanted) | (F.lit(wanted).contains(c) & (F.octet_length(c) * 2 >= n)) | close
     m = m.where(near)
-    any_exact = m.agg(F.coalesce(F.bool_or("exact"), F.lit(False)).alias("any_exact"))
+    # A sum, which needs the distinct names, lets both sides read one exchange; bool_or would scan the texts once more.
+    any_exact = m.agg((F.coalesce(F.sum(F.col("exact").cast("int")), F.lit(0)) > 0).alias("any_exact"))
     return m.join(F.broadcast(any_exact)).where("exact OR NOT any_exact").select("canonical_symbol")
 
 

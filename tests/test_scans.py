@@ -19,7 +19,7 @@ def scans(df):
     return len(re.findall(r"Relation \[[^\]]*text#", plan(df)))
 
 
-@pytest.mark.parametrize("name, most", [("overlap_dedupe_file_cap", 5)])
+@pytest.mark.parametrize("name, most", [("symbol_fuzzy", 2), ("overlap_dedupe_file_cap", 5)])
 def test_texts_are_read_no_oftener(spark, name, most):
     assert scans(catalog.QUERIES[name](spark, D)) <= most
 
@@ -39,3 +39,10 @@ def test_tokens_of_a_line(spark):
 @pytest.mark.parametrize("text, lines", [("a\n\n", ["a", ""]), ("a\r\n", ["a"]), ("a\n\r", ["a", "\r"]), ("\n", [""]), ("", []), (None, []), ("a\r\nb", ["a", "b"])])
 def test_one_line_end_goes(spark, text, lines):
     assert spark.createDataFrame([(text,)], "content string").select(segments.lines_of(F.col("content"))).first()[0] == lines
+
+
+def test_fuzzy_reads_one_exchange(spark):
+    df = catalog.QUERIES["symbol_fuzzy"](spark, D)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1
