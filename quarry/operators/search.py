@@ -67,9 +67,14 @@ def recall(gold: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def postings(segments: DataFrame, id_col: str = "segment_id") -> DataFrame:
-    """(id, term, tf, len): the inverted index."""
-    t = segments.select(id_col, F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("_t"))
-    return t.select(id_col, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(id_col, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, len, term, tf): the inverted index; a row a text, so repeats are counted within it and nothing is exchanged."""
+    t = segments.select(id_col, F.sort_array(tokens(F.col("content"))).alias("t"))
+    t = t.select(id_col, "t", T.shifted(F.col("t")).alias("p"), F.slice(F.sequence(F.lit(0), F.size("t")), F.lit(1), F.size("t")).alias("i"))
+    # Equal tokens stand together; a term's count is the way from its first place to the next term's.
+    t = t.select(id_col, F.size("t").alias("len"), F.filter(F.arrays_zip("t", "p", "i"), lambda x: ~x["t"].eqNullSafe(x["p"])).alias("f"))
+    t = t.select(id_col, "len", F.col("f.t").alias("term"), F.col("f.i").alias("a"), F.concat(F.slice("f.i", F.lit(2), F.size("f")), F.array("len")).alias("b"))
+    t = t.select(id_col, "len", F.explode(F.arrays_zip("term", "a", "b")).alias("x")).where("x.term IS NOT NULL")
+    return t.select(id_col, "len", F.col("x.term").alias("term"), (F.col("x.b") - F.col("x.a")).cast("long").alias("tf"))
 
 
 def tokens(content: Column) -> Column:

@@ -30,6 +30,13 @@ def test_no_filter_repeats_the_reading_of_a_text(spark, name):
     assert filters and not any(f"{x}(" in f for f in filters for x in ("split", "regexp_replace", "regexp_extract_all"))
 
 
+def test_inverted_index_exchanges_terms_only(spark):
+    s = spark.createDataFrame([("a", "x y x"), ("b", ""), ("c", "- Y"), ("d", None)], "segment_id string, content string")
+    p = search.postings(s)
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, p.select("segment_id", "term", "tf", "len").collect())) == [("a", "x", 2, 3), ("a", "y", 1, 3), ("c", "y", 1, 1)]
+
+
 def test_tokens_of_a_line(spark):
     text = "  ab  cdef ääää abc\n\n   \nx\rlong\u2028word yy zzzz\n"
     row = segments.line_symbols(spark.createDataFrame([(text,)], "content string")).first()
