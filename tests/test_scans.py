@@ -24,7 +24,7 @@ def test_texts_are_read_no_oftener(spark, name, most):
     assert scans(catalog.QUERIES[name](spark, D)) <= most
 
 
-@pytest.mark.parametrize("name", ["rrf_fusion", "fused_boosts"])
+@pytest.mark.parametrize("name", ["hybrid_search", "rrf_fusion", "fused_boosts"])
 def test_no_filter_repeats_the_reading_of_a_text(spark, name):
     filters = [x for x in plan(catalog.QUERIES[name](spark, D)).splitlines() if re.match(r"[\s:+-]*Filter ", x)]
     assert filters and not any(f"{x}(" in f for f in filters for x in ("split", "regexp_replace", "regexp_extract_all"))
