@@ -106,10 +106,9 @@ def lookup_references(segments: DataFrame, symbols: DataFrame, name: str, includ
 
 def references(symbols: DataFrame, canonical: str) -> DataFrame:
     """Definitions, then usages of segments that don't define the symbol."""
-    s = symbols.where(F.col("canonical_symbol") == canonical)
-    d = s.where("reference_kind = 'definition'").select("segment_id", "reference_kind")
-    u = s.where("reference_kind = 'usage'").select("segment_id", "reference_kind")
-    return d.unionByName(u.join(d.select("segment_id"), "segment_id", "left_anti"))
+    s = symbols.where(F.col("canonical_symbol") == canonical).select("segment_id", "reference_kind")
+    s = s.withColumn("_d", F.max(F.col("reference_kind") == "definition").over(Window.partitionBy("segment_id")))
+    return s.where("reference_kind = 'definition' OR NOT _d").drop("_d")
 
 
 def handles(segments: DataFrame, wanted: DataFrame) -> DataFrame:
