@@ -19,7 +19,7 @@ def scans(df):
     return len(re.findall(r"Relation \[[^\]]*text#", plan(df)))
 
 
-@pytest.mark.parametrize("name, most", [("symbol_contains", 1), ("symbol_references", 1), ("symbol_fuzzy", 2), ("overlap_dedupe_file_cap", 5), ("rrf_fusion", 4)])
+@pytest.mark.parametrize("name, most", [("symbol_rows", 1), ("symbol_contains", 1), ("symbol_references", 1), ("symbol_fuzzy", 2), ("overlap_dedupe_file_cap", 5), ("rrf_fusion", 4)])
 def test_texts_are_read_no_oftener(spark, name, most):
     assert scans(catalog.QUERIES[name](spark, D)) <= most
 
@@ -37,6 +37,13 @@ def test_inverted_index_exchanges_terms_only(spark):
     assert sorted(map(tuple, p.select("segment_id", "term", "tf", "len").collect())) == [("a", "x", 2, 3), ("a", "y", 1, 3), ("c", "y", 1, 1)]
 
 
+def test_first_spelling_of_each_name(spark):
+    names = ["B-c", "bc", "Ä", "a\nb", None, "ab", "!", "BC"]
+    s = spark.createDataFrame([("1", names, ["bc"]), ("2", ["x", "X"], None), ("3", [], [])], "segment_id string, defined_symbols array<string>, referenced_symbols array<string>")
+    got = symbols.occurrences(s).select("segment_id", "reference_kind", "canonical_symbol", "symbol").collect()
+    assert sorted(map(tuple, got)) == [("1", "definition", "ab", "a\nb"), ("1", "definition", "bc", "B-c"), ("1", "definition", "ä", "Ä"), ("1", "usage", "bc", "bc"), ("2", "definition", "x", "x")]
+
+
 def test_tokens_of_a_line(spark):
     text = "  ab  cdef ääää abc\n\n   \nx\rlong\u2028word yy zzzz\n"
     row = segments.line_symbols(spark.createDataFrame([(text,)], "content string")).first()
