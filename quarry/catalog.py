@@ -182,7 +182,7 @@ _add("hybrid_search", _hybrid, f"WITH {_TWO} SELECT file_path, x.i AS segment_id
 
 # Symbols.
 _add("symbol_rows", lambda s, d: syms(s, d).select("segment_id", "reference_kind", "canonical_symbol", "symbol"), f"WITH {SYMS} SELECT segment_id, reference_kind, canonical_symbol, symbol FROM syms")
-_add("symbol_exact", lambda s, d: symbols.exact(syms(s, d), segs(s, d), "the", "usage").unionByName(symbols.exact(syms(s, d), segs(s, d), "the")).select("segment_id", "file_path", "symbol"), f"WITH {SYMS} SELECT segment_id, file_path, symbol FROM syms JOIN segs USING (segment_id) WHERE canonical_symbol = 'the'")
+_add("symbol_exact", lambda s, d: symbols.exact(syms(s, d), segs(s, d), "the", None).select("segment_id", "file_path", "symbol"), f"WITH {SYMS} SELECT segment_id, file_path, symbol FROM syms JOIN segs USING (segment_id) WHERE canonical_symbol = 'the'")
 _add("symbol_prefix", lambda s, d: symbols.prefix(syms(s, d), "th"), f"WITH {SYMS} SELECT DISTINCT canonical_symbol, length(canonical_symbol) FROM syms WHERE starts_with(canonical_symbol, 'th') ORDER BY 2, 1 LIMIT 32".replace("SELECT DISTINCT canonical_symbol, length(canonical_symbol)", "SELECT canonical_symbol FROM (SELECT DISTINCT canonical_symbol").replace(" ORDER BY 2, 1", ") ORDER BY length(canonical_symbol), canonical_symbol"))
 _add("symbol_contains", lambda s, d: symbols.containing(syms(s, d), "tion"), f"WITH {SYMS} SELECT canonical_symbol FROM (SELECT DISTINCT canonical_symbol FROM syms WHERE contains(canonical_symbol, 'tion')) ORDER BY CASE WHEN starts_with(canonical_symbol, 'tion') THEN 0 ELSE 1 END, abs(length(canonical_symbol) - 4), length(canonical_symbol), canonical_symbol LIMIT 32")
 _add("symbol_fuzzy", lambda s, d: symbols.fuzzy(syms(s, d), "thhee"), f"WITH {SYMS}, m AS (SELECT DISTINCT canonical_symbol AS c FROM syms), n AS (SELECT c FROM m WHERE contains(c, 'thhee') OR (contains('thhee', c) AND strlen(c) * 2 >= 5) OR levenshtein(c, 'thhee') <= 2) SELECT c AS canonical_symbol FROM n WHERE c = 'thhee' OR NOT EXISTS (SELECT 1 FROM n WHERE c = 'thhee')")

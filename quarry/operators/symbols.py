@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def exact(symbols: DataFrame, segments: DataFrame, canonical: str, kind: str = "definition") -> DataFrame:
-    s = symbols.where((F.col("canonical_symbol") == canonical) & (F.col("reference_kind") == kind)).select("segment_id", "symbol")
+def exact(symbols: DataFrame, segments: DataFrame, canonical: str, kind: str | None = "definition") -> DataFrame:
+    """Segments that hold the name as one kind; as either, one row each, where `kind` is None."""
+    s = symbols.where(F.col("canonical_symbol") == canonical)
+    s = (s if kind is None else s.where(F.col("reference_kind") == kind)).select("segment_id", "symbol")
     return segments.select("segment_id", "file_path", "line_start").join(s, "segment_id")
 
 

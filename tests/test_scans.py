@@ -19,7 +19,7 @@ def scans(df):
     return len(re.findall(r"Relation \[[^\]]*text#", plan(df)))
 
 
-@pytest.mark.parametrize("name, most", [("symbol_rows", 1), ("symbol_contains", 1), ("symbol_references", 1), ("symbol_fuzzy", 2), ("overlap_dedupe_file_cap", 5), ("rrf_fusion", 4)])
+@pytest.mark.parametrize("name, most", [("symbol_rows", 1), ("symbol_contains", 1), ("symbol_references", 1), ("symbol_exact", 2), ("symbol_fuzzy", 2), ("overlap_dedupe_file_cap", 5), ("rrf_fusion", 4)])
 def test_texts_are_read_no_oftener(spark, name, most):
     assert scans(catalog.QUERIES[name](spark, D)) <= most
 
@@ -58,6 +58,8 @@ def test_one_line_end_goes(spark, text, lines):
 def test_references_and_both_kinds(spark):
     s = spark.createDataFrame([("1", "n", "N", "definition"), ("1", "n", "n", "usage"), ("2", "n", "n", "usage"), ("3", "m", "m", "usage")], "segment_id string, canonical_symbol string, symbol string, reference_kind string")
     assert sorted(map(tuple, symbols.references(s, "n").collect())) == [("1", "definition"), ("2", "usage")]
+    segs = spark.createDataFrame([(k, "p", 1) for k in "123"], "segment_id string, file_path string, line_start long")
+    assert len(symbols.exact(s, segs, "n", None).collect()) == 3 and len(symbols.exact(s, segs, "n").collect()) == 1
 
 
 def test_fuzzy_reads_one_exchange(spark):
