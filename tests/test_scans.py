@@ -19,7 +19,7 @@ def scans(df):
     return len(re.findall(r"Relation \[[^\]]*text#", plan(df)))
 
 
-@pytest.mark.parametrize("name, most", [("symbol_rows", 1), ("symbol_contains", 1), ("symbol_references", 1), ("symbol_exact", 2), ("symbol_fuzzy", 2), ("overlap_dedupe_file_cap", 5), ("fused_top", 5), ("rrf_fusion", 4)])
+@pytest.mark.parametrize("name, most", [("symbol_rows", 1), ("symbol_contains", 1), ("symbol_references", 1), ("symbol_exact", 2), ("symbol_fuzzy", 2), ("overlap_dedupe_file_cap", 5), ("fused_top", 5), ("fused_boosts", 5), ("rrf_fusion", 4)])
 def test_texts_are_read_no_oftener(spark, name, most):
     assert scans(catalog.QUERIES[name](spark, D)) <= most
 
