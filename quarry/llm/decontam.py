@@ -276,6 +276,7 @@ def _searched(index: Index, column):
     body, offsets = textkit.buffers(column)
     for a, b in textkit.pieces(offsets):
         yield a, index.search(*normalise(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+    textkit.give_back()
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[bytes], bool]]:

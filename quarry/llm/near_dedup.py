@@ -226,11 +226,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     groups, bits, total = plan.groups, plan.bits, max(plan.rows, 1)
     dealt = packed.dealt(docs, id_col, text_col, plan)
 
+    @textkit.frugal
     def keys(key, table):
         s = _Shingles(_distinct(table)["text"], shingle, bits)
         k, count = np.unique(s.keys, return_counts=True)
         return packed.send(key[0].as_py(), k, bits, WIDTH, lambda a, b: textkit.planes(count[a:b].astype(np.uint32)))
 
+    @textkit.frugal
     def sign(key, table, side):
         t = _distinct(table)
         s = _Shingles(t["text"], shingle, bits)
@@ -281,11 +283,13 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         t = table.filter(pa.array([i in want for i in table["id"].to_pylist()], pa.bool_()))
         return vector(_distinct(t), levels), rows_of
 
+    @textkit.frugal
     def ship(key, table, side):
         vectors, asks = needed(table, side, "ask")
         blob = {i: textkit.planes(k) + w.tobytes() for i, (k, w) in vectors.items()}
         return pa.table([[r["b"] for r in asks], ["vector"] * len(asks), [r["a"] for r in asks], [len(vectors[r["a"]][0]) for r in asks], [blob[r["a"]] for r in asks]], schema=_SIDE)
 
+    @textkit.frugal
     def compare(key, table, side):
         vectors, pairs = needed(table, side, "pair")
         leads = {}

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit
+
 SENT = "bucket int, grp int, keys binary, vals binary"
 BACK = "grp int, kind string, bucket int, vals binary"
 _SENT = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -99,6 +101,7 @@ def trim(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
 def answer(sent: DataFrame, kind: str, width: int, plan: Layout, combine: Callable[[np.ndarray, np.ndarray, list[bytes], list[int]], list[bytes | None]]) -> DataFrame:
     """combine(order, starts, values, lengths) of a bucket: a binary for each sender, or None; exchanged by group."""
 
+    @textkit.frugal
     def reduce(table):
         blobs, values, grp = table["keys"].to_pylist(), table["vals"].to_pylist(), table["grp"].to_pylist()
         parts = []

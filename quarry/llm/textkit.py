@@ -6,6 +6,10 @@ positions and words agree with a code-point reading of the same rule.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,6 +29,9 @@ NOT_ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+#: Bytes of text that are looked at together: a pass over them holds some tens of times as much.
+PIECE = 1 << 20
+
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -37,6 +44,29 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits or serves the next stage would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def frugal(f):
+    """f for groups of a worker, without the memory of its temporaries afterwards."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            return f(*args)
+        finally:
+            give_back()
+
+    run.__signature__ = inspect.signature(f)  # Spark counts the parameters
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all output bits."""
     h = h ^ (h >> U64(30))
@@ -61,7 +91,7 @@ def buffers(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return body, offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 22) -> list[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = PIECE) -> list[tuple[int, int]]:
     """Runs (first, last+1) of whole rows with about `most` bytes; one row may exceed it."""
     out, a, n = [], 0, len(offsets) - 1
     while a < n:

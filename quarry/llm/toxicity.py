@@ -196,6 +196,17 @@ class _Shipped:
         return p[:, toxic_from - 1] if toxic_from <= p.shape[1] else np.zeros(len(p))
 
 
+def _scored(model: OrdinalModel, column) -> tuple[np.ndarray, np.ndarray]:
+    """(score, whether it has a word) of each text; runs of rows are read one by one, so a batch's words are never held at once."""
+    scores, said = [np.zeros(0)], [np.zeros(0, bool)]
+    for a, b in textkit.pieces(textkit.buffers(column)[1]):
+        rows, f = _features(column.slice(a, b - a))
+        scores.append(model.score(rows, f, b - a))
+        said.append(np.bincount(rows, minlength=b - a) > 0)
+    textkit.give_back()
+    return np.concatenate(scores), np.concatenate(said)
+
+
 def toxicity(docs: DataFrame, model: OrdinalModel, toxic_from: int = 1, threshold: float = 0.5) -> DataFrame:
     """Grade every whole text: doc_id, score, severity (expected grade), p_toxic, grade, toxic.
 
@@ -209,10 +220,9 @@ def toxicity(docs: DataFrame, model: OrdinalModel, toxic_from: int = 1, threshol
     def predict(batches):
         m = shipped.model()
         for batch in batches:
-            rows, f = _features(batch.column(1))
-            p = m.at_least(s := m.score(rows, f, batch.num_rows))
+            s, said = _scored(m, batch.column(1))
+            p = m.at_least(s)
             q = shipped.p_toxic(p, toxic_from)
-            said = np.bincount(rows, minlength=batch.num_rows) > 0
             yield pa.record_batch([batch.column(0), s, p.sum(1), q, (p >= 0.5).sum(1).astype(np.int32), (q >= threshold) & said], names=["doc_id", "score", "severity", "p_toxic", "grade", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predict, RESULT)
@@ -225,9 +235,8 @@ def without_toxic(docs: DataFrame, model: OrdinalModel, toxic_from: int = 1, thr
     def select(batches):
         m = shipped.model()
         for batch in batches:
-            rows, f = _features(batch.column(at))
-            q = shipped.p_toxic(m.at_least(m.score(rows, f, batch.num_rows)), toxic_from)
-            said = np.bincount(rows, minlength=batch.num_rows) > 0
+            score, said = _scored(m, batch.column(at))
+            q = shipped.p_toxic(m.at_least(score), toxic_from)
             yield batch.filter(pa.array((q < threshold) | ~said))
 
     return docs.mapInArrow(select, docs.schema)
