@@ -127,8 +127,17 @@ _add("bm25_phrase", lambda s, d: search.phrase_topk(segs(s, d), PHRASES).select(
 _add("inverted_index", lambda s, d: search.postings(segs(s, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf")), rf"WITH {SEGS}, w AS (SELECT segment_id, unnest(string_split_regex(lower(content), '[^\p{{L}}\p{{N}}]+')) AS term FROM segs) SELECT term, count(DISTINCT segment_id) AS df, count(*) AS cf FROM w WHERE term <> '' GROUP BY term")
 
 
-def _symbol_list(s, d):
-    return syms(s, d).where(F.col("canonical_symbol").isin(*TERMS)).groupBy("segment_id").agg(F.count(F.lit(1)).cast("double").alias("score")).orderBy(F.desc("score"), "segment_id").limit(400)
+def _read_once(s, d):
+    """A row a segment without its text: its columns, what full text counts in it, and how many of the terms are its symbols."""
+    own = [c for c in segs(s, d).columns if c != "content"]
+    letters = F.array_join("_t", "")
+    t = search.counted(segs(s, d), [[t] for t in TERMS], [*own, F.when(symbols.may_hold(letters, TERMS), F.col("content")).alias("content")])
+    named = segments.line_symbols(t).withColumn("named", symbols.held(TERMS))
+    return search.read_once(named.drop("content", "defined_symbols", "referenced_symbols"))
+
+
+def _symbol_list(rows):
+    return rows.where("named > 0").groupBy("segment_id").agg(F.sum("named").cast("double").alias("score")).orderBy(F.desc("score"), "segment_id").limit(400)
 
 
 VECTORS = f"""{_VEC}, vt AS (SELECT vec_id, score FROM v ORDER BY score DESC, vec_id LIMIT (SELECT 400 * greatest(1, least(8, count(DISTINCT context_id))) FROM v)),
@@ -147,28 +156,30 @@ fo AS (SELECT file_path, list_reduce(a, lambda acc, x: CASE WHEN len(list_filter
 su AS (SELECT file_path, unnest(a) AS x FROM fo)"""
 
 
-def _segment_vectors(s, d):
+def _segment_vectors(s, d, rows):
     """A document's vector, bound to its first segment; vectors of no document stay candidates and go later."""
-    first = segs(s, d).where("line_start = 1").select("segment_id", F.regexp_extract("file_path", r"/doc_(\d+)\.", 1).cast("long").alias("vec_id"))
+    first = rows.where("line_start = 1").select("segment_id", F.regexp_extract("file_path", r"/doc_(\d+)\.", 1).cast("long").alias("vec_id"))
     return _vectors(s, d), first
 
 
-def _vector_list(s, d):
-    v, first = _segment_vectors(s, d)
+def _vector_list(s, d, rows):
+    v, first = _segment_vectors(s, d, rows)
     near = search.vector_topk(v, _query_vector(s, d), search.vector_k(search.n_contexts(v)))
     return search.ranked(first.join(near.select("vec_id", "score"), "vec_id"), "vector")
 
 
-def _fused(s, d):
-    return search.fuse([_vector_list(s, d), search.ranked(search.bm25_topk(segs(s, d), TERMS), "fts"), search.ranked(_symbol_list(s, d), "symbol")])
+def _fused(s, d, rows=None):
+    rows = _read_once(s, d) if rows is None else rows
+    return search.fuse([_vector_list(s, d, rows), search.ranked(search.counted_topk(rows, len(TERMS)), "fts"), search.ranked(_symbol_list(rows), "symbol")])
 
 
 def _boosted(s, d):
-    return search.boosted(hybrid.with_meta(segs(s, d)).drop("content").join(F.broadcast(_fused(s, d)), "segment_id"), QUERY)
+    rows = _read_once(s, d)
+    return search.boosted(hybrid.with_meta(rows).join(F.broadcast(_fused(s, d, rows)), "segment_id"), QUERY)
 
 
 def _hybrid(s, d):
-    v, first = _segment_vectors(s, d)
+    v, first = _segment_vectors(s, d, segs(s, d))
     named = v.join(first, "vec_id", "left").select(F.coalesce("segment_id", F.concat(F.lit("none-"), F.col("vec_id").cast("string"))).alias("vec_id"), "embedding", "context_id")
     return hybrid.hybrid_search(segs(s, d), None, QUERY.text, 10, named, _query_vector(s, d)).select("file_path", "segment_id", F.round("score", 9).alias("score"))
 

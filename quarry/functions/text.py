@@ -85,7 +85,7 @@ def path_in_dir(lower: Column, name: str) -> Column:
     return (lower == name) | lower.startswith(name + "/") | lower.contains(f"/{name}/")
 
 
-def _any(conditions) -> Column:
+def any_of(conditions) -> Column:
     out = F.lit(False)
     for c in conditions:
         out = out | c
@@ -93,11 +93,11 @@ def _any(conditions) -> Column:
 
 
 def is_test_path(path: Column) -> Column:
-    return let(F.lower(path), lambda lower: _any([path_in_dir(lower, d) for d in TEST_DIRS] + [lower.endswith(s) for s in TEST_SUFFIXES]))
+    return let(F.lower(path), lambda lower: any_of([path_in_dir(lower, d) for d in TEST_DIRS] + [lower.endswith(s) for s in TEST_SUFFIXES]))
 
 
 def is_low_signal_path(path: Column) -> Column:
-    return is_test_path(path) | let(F.lower(path), lambda lower: _any(path_in_dir(lower, d) for d in LOW_SIGNAL_DIRS) | lower.contains("node_modules"))
+    return is_test_path(path) | let(F.lower(path), lambda lower: any_of(path_in_dir(lower, d) for d in LOW_SIGNAL_DIRS) | lower.contains("node_modules"))
 
 
 def has_test_token(value: Column) -> Column:

@@ -99,14 +99,33 @@ def phrase_topk(segments: DataFrame, phrases: Sequence[Sequence[str]], k: int =
     """
     if not phrases:
         return segments.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    return counted_topk(counted(segments, phrases, [id_col]), len(phrases), k, id_col)
+
+
+def counted(segments: DataFrame, phrases: Sequence[Sequence[str]], keep: Sequence[str | Column]) -> DataFrame:
+    """(*keep, len, tf0, tf1, ...): tokens of each text and how often it holds each phrase. `keep` may name the tokens as _t."""
     line = F.concat(F.lit("  "), F.array_join("_t", "  "), F.lit("  "))
     padded = [" " + "  ".join(p) + " " for p in phrases]
     count = lambda p: F.when(F.col("_l").contains(p), F.size(F.split("_l", p, -1)) - 1).otherwise(0)  # noqa: E731  tokens hold no sign of a pattern
-    s = segments.select(id_col, tokens(F.col("content")).alias("_t")).select(id_col, F.size("_t").cast("double").alias("len"), line.alias("_l"))
+    s = segments.withColumn("_t", tokens(F.col("content"))).select(*keep, F.size("_t").cast("double").alias("len"), line.alias("_l"))
+    kept = [c for c in s.columns if c not in ("len", "_l")]
     # A filter on the counts stops at the generator; below it, it would read each text again for each phrase.
-    s = s.select(id_col, F.inline(F.array(F.struct("len", *[count(p).alias(f"tf{i}") for i, p in enumerate(padded)]))))
-    stats = s.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(phrases))])
-    return _bm25(s, stats, len(phrases), k, id_col)
+    return s.select(*kept, F.inline(F.array(F.struct("len", *[count(p).alias(f"tf{i}") for i, p in enumerate(padded)]))))
+
+
+def counted_topk(s: DataFrame, n: int, k: int = TOP, id_col: str = "segment_id") -> DataFrame:
+    """(id, score): best k of counted rows; statistics cover them all."""
+    stats = s.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(n)])
+    return _bm25(s, stats, n, k, id_col)
+
+
+def read_once(rows: DataFrame) -> DataFrame:
+    """Rows without their texts, computed now and kept by the executors as long as the result is in use.
+
+    What several lists ask of the texts is read from them in one pass. It holds some hundred bytes a
+    segment, on disk where memory is short. It is lost with an executor, and the query then fails.
+    """
+    return rows.localCheckpoint()
 
 
 def bm25_topk(segments: DataFrame, terms: Sequence[str], k: int = TOP, id_col: str = "segment_id") -> DataFrame:

@@ -66,9 +66,10 @@ def embeds(block_type: Column, language_: Column) -> Column:
 def lines_of(content: Column) -> Column:
     """Lines without a trailing empty one or a carriage return; empty content has none."""
     # A pattern's $ would also stand before a last line end and take two empty lines.
+    # One character is split at without a pattern.
     n = F.char_length(content)
     body = F.when(content.endswith("\r\n"), F.left(content, n - 2)).when(content.endswith("\n"), F.left(content, n - 1)).otherwise(content)
-    return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(body, r"\r?\n"))
+    return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n"))
 
 
 def segment_id(context: Column, path: Column, first: Column, last: Column) -> Column:

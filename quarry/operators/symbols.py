@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -64,6 +66,26 @@ def occurrences(segments: DataFrame) -> DataFrame:
     return rows.select("context_id", "segment_id", F.col("x.s").alias("symbol"), F.col("x.c").alias("canonical_symbol"), "reference_kind")
 
 
+def held(names: Sequence[str]) -> Column:
+    """How many rows of `occurrences` with one of the names a segment gives, counted within its row."""
+    total = F.lit(0)
+    for column in ("defined_symbols", "referenced_symbols"):
+        s = F.array_compact(F.coalesce(F.col(column), F.array().cast("array<string>")))
+        joined = F.regexp_replace(F.lower(F.array_join(s, "\n")), r"[^\p{L}\p{N}\n]", "")
+        # A symbol that holds the separator sends its row to the slow way.
+        c = F.when(F.size(F.split(joined, "\n")) == F.size(s), F.split(joined, "\n")).otherwise(F.transform(s, T.canonical))
+        total = total + T.let(c, lambda own: sum((F.array_contains(own, n).cast("int") for n in sorted(set(names) - {""})), F.lit(0)))
+    return total
+
+
+def may_hold(letters: Column, names: Sequence[str]) -> Column:
+    """Whether a text may hold one of the names as a symbol; `letters` are its letters and digits, lower-cased.
+
+    A capital sigma is lower-cased by what stands around it, so names beyond ASCII may stand anywhere.
+    """
+    return T.any_of([letters.contains(n) if n.isascii() else F.lit(True) for n in names])
+
+
 def fallback_names(symbols: DataFrame, wanted: str) -> DataFrame:
     """(canonical_symbol, turn): names that share the query's first letters, then names that contain it, each list by its own order."""
     n = Window.orderBy("list", "at")
