@@ -132,7 +132,7 @@ def _read_once(s, d):
     own = [c for c in segs(s, d).columns if c != "content"]
     letters = F.array_join("_t", "")
     t = search.counted(segs(s, d), [[t] for t in TERMS], [*own, F.when(symbols.may_hold(letters, TERMS), F.col("content")).alias("content")])
-    named = segments.line_symbols(t).withColumn("named", symbols.held(TERMS))
+    named = symbols.with_held(segments.line_symbols(t), TERMS)
     return search.read_once(named.drop("content", "defined_symbols", "referenced_symbols"))
 
 

@@ -66,16 +66,19 @@ def occurrences(segments: DataFrame) -> DataFrame:
     return rows.select("context_id", "segment_id", F.col("x.s").alias("symbol"), F.col("x.c").alias("canonical_symbol"), "reference_kind")
 
 
-def held(names: Sequence[str]) -> Column:
-    """How many rows of `occurrences` with one of the names a segment gives, counted within its row."""
+def with_held(segments: DataFrame, names: Sequence[str], name: str = "named") -> DataFrame:
+    """Segments with how many rows of `occurrences` with one of the names each gives, counted within its row."""
+    lists = ("defined_symbols", "referenced_symbols")
+    # Columns of their own, since each stands more than once in the count.
+    s = segments.withColumns({f"_s{i}": F.array_compact(F.coalesce(F.col(c), F.array().cast("array<string>"))) for i, c in enumerate(lists)})
+    s = s.withColumns({f"_j{i}": F.concat(F.lit("\n"), F.regexp_replace(F.lower(F.array_join(f"_s{i}", "\n")), r"[^\p{L}\p{N}\n]", ""), F.lit("\n")) for i in range(len(lists))})
     total = F.lit(0)
-    for column in ("defined_symbols", "referenced_symbols"):
-        s = F.array_compact(F.coalesce(F.col(column), F.array().cast("array<string>")))
-        joined = F.regexp_replace(F.lower(F.array_join(s, "\n")), r"[^\p{L}\p{N}\n]", "")
+    for i in range(len(lists)):
         # A symbol that holds the separator sends its row to the slow way.
-        c = F.when(F.size(F.split(joined, "\n")) == F.size(s), F.split(joined, "\n")).otherwise(F.transform(s, T.canonical))
-        total = total + T.let(c, lambda own: sum((F.array_contains(own, n).cast("int") for n in sorted(set(names) - {""})), F.lit(0)))
-    return total
+        plain = F.size(F.split(f"_j{i}", "\n", -1)) == F.size(f"_s{i}") + 2
+        for n in sorted(set(names) - {""}):
+            total = total + F.when(plain, F.col(f"_j{i}").contains(f"\n{n}\n")).otherwise(F.array_contains(F.transform(f"_s{i}", T.canonical), n)).cast("int")
+    return s.withColumn(name, total).drop(*[f"_{k}{i}" for k in "sj" for i in range(len(lists))])
 
 
 def may_hold(letters: Column, names: Sequence[str]) -> Column:

@@ -21,12 +21,12 @@ def test_held_names_are_those_of_occurrences(spark):
     s = spark.createDataFrame(rows, "segment_id string, defined_symbols array<string>, referenced_symbols array<string>")
     for wanted in (["bc", "ab"], ["a", "b", "x", ""], ["Ä"]):
         want = symbols.occurrences(s).where(F.col("canonical_symbol").isin(*wanted) & (F.col("canonical_symbol") != "")).groupBy("segment_id").count()
-        got = s.select("segment_id", symbols.held(wanted).alias("n")).where("n > 0")
+        got = symbols.with_held(s, wanted, "n").select("segment_id", "n").where("n > 0")
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_letters_tell_where_a_name_may_stand(spark):
     s = spark.createDataFrame([("1", "  E-Da.n x\nno"), ("2", "ed an"), ("3", "nothing here"), ("4", None)], "segment_id string, content string")
     may = s.withColumn("_t", search.tokens(F.col("content"))).select("segment_id", symbols.may_hold(F.array_join("_t", ""), ["edan"]).alias("m"))
-    n = segments.line_symbols(s).select("segment_id", symbols.held(["edan"]).alias("n"))
+    n = symbols.with_held(segments.line_symbols(s), ["edan"], "n").select("segment_id", "n")
     assert {r["segment_id"] for r in n.where("n > 0").collect()} == {"1"} <= {r["segment_id"] for r in may.where("m").collect()} == {"1", "2"}
