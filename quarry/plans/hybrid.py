@@ -38,18 +38,22 @@ def hybrid_search(segments: DataFrame, symbols: DataFrame | None, query: str, li
     """
     q = R.Query(query)
     segments = with_meta(segments)
-    lists = []
+    meta, lists = segments.select(*META), []
     phrases = [p for p in map(R.phrase_tokens, R.phrases(query)) if p]
-    if phrases:
-        lists.append(S.ranked(S.phrase_topk(segments, phrases) if postings is None else S.postings_topk(postings, phrases), "fts"))
+    if phrases and postings is None:
+        rows = S.read_once(S.counted(segments, phrases, META))
+        meta = rows.select(*META)
+        lists.append(S.ranked(S.counted_topk(rows, len(phrases)), "fts"))
+    elif phrases:
+        lists.append(S.ranked(S.postings_topk(postings, phrases), "fts"))
     if symbols is not None and q.symbol:
         lists.append(symbol_list(segments, symbols, q))
     literal = q.exact_word and any(x.limit(1).count() for x in lists)
     if vectors is not None and query_vector is not None and not literal:
         near = S.vector_topk(vectors, query_vector, S.vector_k(S.n_contexts(vectors))).select(F.col("vec_id").alias("segment_id"), "score")
-        lists.insert(0, S.ranked(near.join(segments.select("segment_id"), "segment_id", "left_semi"), "vector"))
+        lists.insert(0, S.ranked(near.join(meta.select("segment_id"), "segment_id", "left_semi"), "vector"))
     if not lists:
         return segments.select("segment_id", "file_path", "line_start", "line_end", F.lit(0.0).alias("score"), "content").limit(0)
     fused = F.broadcast(S.fuse(lists))  # three lists of bounded length
-    best = S.top(S.suppressed(S.boosted(segments.select(*META).join(fused, "segment_id"), q)), limit)
+    best = S.top(S.suppressed(S.boosted(meta.join(fused, "segment_id"), q)), limit)
     return segments.select("segment_id", "content").join(F.broadcast(best), "segment_id").select(*best.columns, "content")

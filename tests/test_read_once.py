@@ -30,3 +30,9 @@ def test_letters_tell_where_a_name_may_stand(spark):
     may = s.withColumn("_t", search.tokens(F.col("content"))).select("segment_id", symbols.may_hold(F.array_join("_t", ""), ["edan"]).alias("m"))
     n = symbols.with_held(segments.line_symbols(s), ["edan"], "n").select("segment_id", "n")
     assert {r["segment_id"] for r in n.where("n > 0").collect()} == {"1"} <= {r["segment_id"] for r in may.where("m").collect()} == {"1", "2"}
+
+
+def test_hybrid_search_reads_texts_for_counts_anchors_and_contents_only(spark, monkeypatch):
+    read, kept = [], getattr(search, "read_once", None)
+    monkeypatch.setattr(search, "read_once", lambda rows: read.append(scans(rows)) or kept(rows), raising=False)
+    assert scans(catalog.QUERIES["hybrid_search"](spark, D)) <= 2 and read == [1]
