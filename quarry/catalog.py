@@ -39,7 +39,7 @@ def segs(spark, d):
 
 
 def syms(spark, d):
-    return symbols.occurrences(segments.line_symbols(segs(spark, d)))
+    return symbols.line_occurrences(segs(spark, d))
 
 
 def links(spark, d):

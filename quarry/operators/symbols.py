@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +70,95 @@ def occurrences(segments: DataFrame) -> DataFrame:
     return rows.select("context_id", "segment_id", F.col("x.s").alias("symbol"), F.col("x.c").alias("canonical_symbol"), "reference_kind")
 
 
+#: Bytes of text whose tokens a worker holds at once, and characters that a referenced symbol has at least.
+PIECE, LEAST = 1 << 21, 4
+
+
+def _tokens(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """What stands between spaces and line ends of non-null texts: the tokens, each one's text, and whether it is its line's first."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    ends = data == 10
+    inside = ~(ends | (data == 32))
+    # A token starts behind a space or line end, and where a text starts.
+    behind = np.concatenate(([True], ~inside))
+    behind[at] = True
+    behind = behind[:-1]
+    starts = np.flatnonzero(inside & behind)
+    offsets = np.append(np.flatnonzero(behind[inside]), np.count_nonzero(inside)).astype(np.int32)
+    tokens = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(starts, at)))
+    # A line without tokens points at a later line's first.
+    first = np.zeros(len(starts) + 1, bool)
+    first[np.searchsorted(starts, np.append(at[:-1], np.flatnonzero(ends) + 1))] = True
+    return tokens, text, first[:-1]
+
+
+#: ASCII letters in lower case, and ASCII characters but letters, digits and line ends.
+_LOWER, _MARKS = bytes(range(256)).lower(), bytes(c for c in range(128) if not chr(c).isalnum() and c != 10)
+
+
+def _canonical(spellings: pa.StringArray) -> pa.StringArray:
+    """`canonical` of strings without line ends, all in one text of a line each."""
+    if not len(spellings):
+        return spellings
+    plain = pc.string_is_ascii(spellings).to_numpy(zero_copy_only=False)
+    if not plain.all() and plain.any():
+        order = np.argsort(np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain))))
+        return pa.concat_arrays([_canonical(spellings.filter(pa.array(keep))) for keep in (plain, ~plain)]).take(pa.array(order))
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(spellings)], pa.int32()), spellings), "\n")[0].as_py()
+    joined = text.encode().translate(_LOWER, _MARKS) if plain.all() else re.sub(r"[^\w\n]+|_+", "", text.lower()).encode()
+    data = np.frombuffer(joined, np.uint8)
+    ends = np.flatnonzero(data == 10)
+    offsets = np.concatenate(([0], ends - np.arange(len(ends)), [len(data) - len(ends)])).astype(np.int32)
+    return pa.StringArray.from_buffers(len(spellings), pa.py_buffer(offsets), pa.py_buffer(data[data != 10]))
+
+
+def _named(texts: pa.StringArray) -> tuple[pa.StringArray, pa.StringArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spellings, names, and of each occurrence in order its spelling, name, text and whether it is a definition; nameless ones and short usages left out."""
+    tokens, text, first = _tokens(texts)
+    coded = tokens.dictionary_encode()
+    spellings, spelling = coded.dictionary, coded.indices.to_numpy()
+    named = _canonical(spellings).dictionary_encode()
+    name_of = named.indices.to_numpy()
+    some = pc.not_equal(named.dictionary, "").to_numpy(zero_copy_only=False)[name_of]
+    long = some & (pc.utf8_length(spellings).to_numpy() >= LEAST)
+    kept = np.flatnonzero(np.where(first, some[spelling], long[spelling]))
+    return spellings, named.dictionary, spelling[kept], name_of[spelling[kept]], text[kept], first[kept]
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, pa.StringArray]]:
+    """Runs of texts of PIECE bytes, or of one longer text, with the first one's place."""
+    ends, a = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right")))
+        yield a, texts[a:b]
+        a = b
+
+
+def line_occurrences(segments: DataFrame) -> DataFrame:
+    """(segment_id, reference_kind, canonical_symbol, symbol): `occurrences` of `line_symbols`.
+
+    They are taken from the texts in columns of bytes and numbers rather than token by token. Letters
+    and digits are those of Python's Unicode tables, which are newer than Java 17's.
+    """
+
+    def take(batches):
+        for batch in batches:
+            ids, texts = (batch.column(i).cast(pa.string()) for i in range(2))
+            for a, piece in _pieces(pc.fill_null(texts, "")):
+                spellings, names, spelling, name, text, first = _named(piece)
+                seen = pa.array((2 * text + first) * len(names) + name).dictionary_encode().indices.to_numpy()
+                # Codes are dealt by first occurrence, so one above all before it is new.
+                new = np.flatnonzero(np.diff(np.maximum.accumulate(seen), prepend=-1))
+                kinds = pa.array(["usage", "definition"]).take(pa.array(first[new].astype(np.int8)))
+                columns = [ids.take(pa.array(text[new] + a)), kinds, names.take(pa.array(name[new])), spellings.take(pa.array(spelling[new]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["segment_id", "reference_kind", "canonical_symbol", "symbol"])
+
+    return segments.select(F.col("segment_id").cast("string"), "content").mapInArrow(take, "segment_id string, reference_kind string, canonical_symbol string, symbol string")
+
+
 def with_held(segments: DataFrame, names: Sequence[str], name: str = "named") -> DataFrame:
     """Segments with how many rows of `occurrences` with one of the names each gives, counted within its row."""
     lists = ("defined_symbols", "referenced_symbols")
