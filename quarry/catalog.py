@@ -42,6 +42,10 @@ def syms(spark, d):
     return symbols.line_occurrences(segs(spark, d))
 
 
+def names(spark, d):
+    return symbols.line_names(segs(spark, d))
+
+
 def links(spark, d):
     """href targets of pages; by position in the page they are in turn calls, references and conformance."""
     p = _t(spark, d, "pages").select(F.col("page_id").alias("source_id"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("pos", "raw_target"))
@@ -194,9 +198,9 @@ _add("hybrid_search", _hybrid, f"WITH {_TWO} SELECT file_path, x.i AS segment_id
 # Symbols.
 _add("symbol_rows", lambda s, d: syms(s, d).select("segment_id", "reference_kind", "canonical_symbol", "symbol"), f"WITH {SYMS} SELECT segment_id, reference_kind, canonical_symbol, symbol FROM syms")
 _add("symbol_exact", lambda s, d: symbols.exact(syms(s, d), segs(s, d), "the", None).select("segment_id", "file_path", "symbol"), f"WITH {SYMS} SELECT segment_id, file_path, symbol FROM syms JOIN segs USING (segment_id) WHERE canonical_symbol = 'the'")
-_add("symbol_prefix", lambda s, d: symbols.prefix(syms(s, d), "th"), f"WITH {SYMS} SELECT DISTINCT canonical_symbol, length(canonical_symbol) FROM syms WHERE starts_with(canonical_symbol, 'th') ORDER BY 2, 1 LIMIT 32".replace("SELECT DISTINCT canonical_symbol, length(canonical_symbol)", "SELECT canonical_symbol FROM (SELECT DISTINCT canonical_symbol").replace(" ORDER BY 2, 1", ") ORDER BY length(canonical_symbol), canonical_symbol"))
-_add("symbol_contains", lambda s, d: symbols.containing(syms(s, d), "tion"), f"WITH {SYMS} SELECT canonical_symbol FROM (SELECT DISTINCT canonical_symbol FROM syms WHERE contains(canonical_symbol, 'tion')) ORDER BY CASE WHEN starts_with(canonical_symbol, 'tion') THEN 0 ELSE 1 END, abs(length(canonical_symbol) - 4), length(canonical_symbol), canonical_symbol LIMIT 32")
-_add("symbol_fuzzy", lambda s, d: symbols.fuzzy(syms(s, d), "thhee"), f"WITH {SYMS}, m AS (SELECT DISTINCT canonical_symbol AS c FROM syms), n AS (SELECT c FROM m WHERE contains(c, 'thhee') OR (contains('thhee', c) AND strlen(c) * 2 >= 5) OR levenshtein(c, 'thhee') <= 2) SELECT c AS canonical_symbol FROM n WHERE c = 'thhee' OR NOT EXISTS (SELECT 1 FROM n WHERE c = 'thhee')")
+_add("symbol_prefix", lambda s, d: symbols.prefix(names(s, d), "th"), f"WITH {SYMS} SELECT DISTINCT canonical_symbol, length(canonical_symbol) FROM syms WHERE starts_with(canonical_symbol, 'th') ORDER BY 2, 1 LIMIT 32".replace("SELECT DISTINCT canonical_symbol, length(canonical_symbol)", "SELECT canonical_symbol FROM (SELECT DISTINCT canonical_symbol").replace(" ORDER BY 2, 1", ") ORDER BY length(canonical_symbol), canonical_symbol"))
+_add("symbol_contains", lambda s, d: symbols.containing(names(s, d), "tion"), f"WITH {SYMS} SELECT canonical_symbol FROM (SELECT DISTINCT canonical_symbol FROM syms WHERE contains(canonical_symbol, 'tion')) ORDER BY CASE WHEN starts_with(canonical_symbol, 'tion') THEN 0 ELSE 1 END, abs(length(canonical_symbol) - 4), length(canonical_symbol), canonical_symbol LIMIT 32")
+_add("symbol_fuzzy", lambda s, d: symbols.fuzzy(names(s, d), "thhee"), f"WITH {SYMS}, m AS (SELECT DISTINCT canonical_symbol AS c FROM syms), n AS (SELECT c FROM m WHERE contains(c, 'thhee') OR (contains('thhee', c) AND strlen(c) * 2 >= 5) OR levenshtein(c, 'thhee') <= 2) SELECT c AS canonical_symbol FROM n WHERE c = 'thhee' OR NOT EXISTS (SELECT 1 FROM n WHERE c = 'thhee')")
 _add("symbol_references", lambda s, d: symbols.references(syms(s, d), "that").select("segment_id", "reference_kind"), f"WITH {SYMS}, x AS (SELECT segment_id, reference_kind FROM syms WHERE canonical_symbol = 'that') SELECT * FROM x WHERE reference_kind = 'definition' OR segment_id NOT IN (SELECT segment_id FROM x WHERE reference_kind = 'definition')")
 _HANDLES = (":0", ":00", ":a1b2c3", ":ffff", ":zz")
 _add("handle_prefix", lambda s, d: symbols.handles(segs(s, d), s.createDataFrame([(h,) for h in _HANDLES], "handle string")), f"WITH {SEGS}, h AS (SELECT unnest({list(_HANDLES)}) AS handle), m AS (SELECT handle, substr(handle, 2) AS p, list_sort(list(segment_id)) AS ids FROM h LEFT JOIN segs ON starts_with(segment_id, substr(handle, 2)) GROUP BY handle), n AS (SELECT handle, list_distinct(list_filter(ids, lambda x: x IS NOT NULL)) AS ids FROM m) SELECT handle, CASE WHEN len(ids) = 1 THEN 'found' WHEN len(ids) = 0 THEN 'not_found' ELSE 'ambiguous' END AS status, array_to_string(list_sort(ids)[1:5], ',') AS segment_ids FROM n")

@@ -159,6 +159,18 @@ def line_occurrences(segments: DataFrame) -> DataFrame:
     return segments.select(F.col("segment_id").cast("string"), "content").mapInArrow(take, "segment_id string, reference_kind string, canonical_symbol string, symbol string")
 
 
+def line_names(segments: DataFrame) -> DataFrame:
+    """The canonical names of `line_occurrences`, each once a piece of text or oftener."""
+
+    def take(batches):
+        for batch in batches:
+            for _, piece in _pieces(pc.fill_null(batch.column(0).cast(pa.string()), "")):
+                _, names, _, name, _, _ = _named(piece)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(np.flatnonzero(np.bincount(name, minlength=len(names)))))], names=["canonical_symbol"])
+
+    return segments.select("content").mapInArrow(take, "canonical_symbol string")
+
+
 def with_held(segments: DataFrame, names: Sequence[str], name: str = "named") -> DataFrame:
     """Segments with how many rows of `occurrences` with one of the names each gives, counted within its row."""
     lists = ("defined_symbols", "referenced_symbols")

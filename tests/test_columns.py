@@ -39,3 +39,17 @@ def test_letters_newer_than_java_are_those_of_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
     df = catalog.QUERIES["symbol_rows"](spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == sorted(con.execute(catalog.SQL["symbol_rows"]).fetchall())
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 21])
+def test_line_names_are_those_of_occurrences(spark, monkeypatch, piece):
+    monkeypatch.setattr(symbols, "PIECE", piece)
+    s = _segments(spark, [*ODD, None, *reversed(ODD)]).coalesce(1)
+    want = {r["canonical_symbol"] for r in symbols.occurrences(segments.line_symbols(s)).collect()}
+    assert {r["canonical_symbol"] for r in symbols.line_names(s).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["symbol_contains", "symbol_prefix", "symbol_fuzzy"])
+def test_distinct_names_leave_workers_without_their_segments(spark, name):
+    p = plan(catalog.QUERIES[name](spark, D))
+    assert re.search(r"MapInArrow take\(content#\d+\)#\d+, \[canonical_symbol#\d+\]", p) and "reference_kind" not in p
